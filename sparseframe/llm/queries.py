@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe
 from .common import table
 from .ngram_join import ngram_jaccard
+from .quality_rules import quality_rules
+from .token_files import token_files
+
+
+def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_tree": op2_bpe_tree,
+    "op4_host_quality_rules": op4_host_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op10_simple8b_token_files": op10_simple8b_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
