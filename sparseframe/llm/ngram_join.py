@@ -13,7 +13,8 @@ link when ``100 * |A & B| >= percent * |A | B|``. The join keeps these steps:
    every holder of a shingle against the holder that has it earliest in its order (pairs
    linear in the group); then, of what has not become one component, all remaining pairs
    that pass the filters. Pairs inside a component found already can't change a component.
-4. *Verify.* Each pair once: suffix filter, then exact intersection of the whole sets.
+4. *Verify.* Each pair once: the bound from its common prefix shingles, the suffix filter,
+   then exact intersection of the whole sets.
 5. *Components* of the links by large-star / small-star, joined back to every document.
 
 The sketch (``2**sketch_bits`` one-byte ranks) and the bitmap of wanted ids
@@ -101,17 +102,24 @@ def _prefixes(k: int, bits: int, percent: int, ranks):
     return run
 
 
-def _wanted_sets(k: int, bits: int, bitmap):
+def _wanted(bits: int, bitmap):
+    """Rows whose first column, an id, has its bit set in the bitmap."""
+
     def run(batches):
         bit = np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            slot = _slot(ids, bits)
+            slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
             keep = (bit[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
             if keep.any():
-                batch = batch.filter(pa.array(keep))
-                for got, sets in _sets([batch], k):
-                    yield pa.RecordBatch.from_arrays([got, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _wanted_sets(k: int, bits: int, bitmap):
+    def run(batches):
+        for ids, sets in _sets(_wanted(bits, bitmap)(batches), k):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
 
     return run
 
@@ -188,20 +196,31 @@ def ngram_jaccard(
     tokens = lists.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
     held = tmp.cut(tokens.join(shared, "token"), "held")
-    tmp.drop("prefixes")
 
     def meets(x: str, y: str):
         """Length and positional filters of two rows for one token; exact at a pair's first common token."""
         na, nb, pa_, pb = (F.col(c).cast("long") for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) * (100 + percent) >= percent * (na + nb))
 
+    def on_both(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+        """pairs with the two documents' columns, named x_ and y_."""
+        for end, mark in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(rows.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{mark}_{c}") for c in cols]), end)
+        return pairs
+
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = tmp.cut(pairs.distinct(), f"pairs-{name}")
         wanted = _bitmap(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")), filter_bits)
-        sets = tmp.cut(base.where("doc_id is not null").mapInArrow(_wanted_sets(k, filter_bits, wanted), "doc_id long, members binary").dropDuplicates(["doc_id"]), f"sets-{name}")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-        found = tmp.cut(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
-        tmp.drop(f"sets-{name}")
+        few = lists.select("doc_id", "tokens", "n").mapInArrow(_wanted(filter_bits, wanted), "doc_id long, tokens array<long>, n long")
+        # all common shingles stand in both prefixes but for those after the prefix that ends first
+        rest_of = lambda m: F.col(f"{m}_n") - F.size(f"{m}_tokens")
+        most = F.size(F.array_intersect("x_tokens", "y_tokens")) + F.greatest(rest_of("x"), rest_of("y"))
+        near = on_both(pairs, few, "tokens", "n").where(most * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
+        near = tmp.cut(near, f"near-{name}")
+        wanted = _bitmap(spark, near.select(F.explode(F.array("a", "b")).alias("id")), filter_bits)
+        sets = tmp.cut(base.where("doc_id is not null").mapInArrow(_wanted_sets(k, filter_bits, wanted), "doc_id long, members binary"), f"sets-{name}")
+        found = tmp.cut(on_both(near, sets, "members").select("a", "b", "x_members", "y_members").mapInArrow(_verify(percent), "a long, b long").distinct(), f"links-{name}")
+        tmp.drop(f"sets-{name}", f"near-{name}")
         return found
 
     # the holder that has a token earliest, as one sortable value
@@ -218,7 +237,7 @@ def ngram_jaccard(
     rest = open_.alias("x").join(open_.alias("y"), "token").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & meets("x", "y"))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     second = links(rest.join(tmp.spark.read.parquet(f"{tmp.root}/pairs-star"), ["a", "b"], "left_anti"), "rest")
-    tmp.drop("held", "known")
+    tmp.drop("held", "known", "prefixes")
     final = components(first.unionByName(second), tmp, "all")
 
     of_rep = reps.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
