@@ -126,3 +126,23 @@ def quality_rules(
     verdicts = hosts.select(F.col("host").alias(h), F.col("rate").alias(r), F.col("rejected").alias(bad))
     joined = rows.join(verdicts, F.col(f"`{host_col}`") == F.col(h), "left")
     return joined.withColumn("host_rate", F.col(r)).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(bad), F.lit(False))).drop(h, r, bad)
+
+
+#: The rows of quality_rules with its defaults: doc_id, MEASURES, base_failed, kept.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN c USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS x FROM f WHERE source IS NOT NULL GROUP BY source),
+q AS (SELECT avg(x / n) AS mu, CASE WHEN var_samp(x / n) > 0 THEN greatest(avg(x / n) * (1 - avg(x / n)) / var_samp(x / n) - 1, 1.0) ELSE 1.0 END AS s FROM h),
+v AS (SELECT source, (x + mu * s) / (n + s) >= 0.5 AS bad FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept
+FROM f LEFT JOIN v USING (source)
+"""
