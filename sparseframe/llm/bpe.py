@@ -6,7 +6,9 @@ tokenizer's threads. Joins then go up the tree: a window around each join is enc
 and grows until three tokens in a row on its left are those of the left half and three on
 its right are those of the right half, id and span alike. An encoding is the BPE result if
 every neighbouring pair of tokens is; all pairs of the spliced sequence come from one of
-the three encodings, so the splice is the encoding of the undivided text.
+the three encodings, so the splice is the encoding of the undivided text. Added tokens
+(<|endoftext|> and the like) are taken out of the raw text before all else; no cut falls
+inside one.
 
 Short texts are encoded by their words: ASCII white space always ends a pre-token of the
 tokenizers served here (``splits_on_space`` checks that), so a bounded memo of words serves.
@@ -65,6 +67,7 @@ class Encoder:
         self.tok.no_padding()
         self.leaf, self.window, self.run = max(leaf_chars, 2), max(window, 4), run
         self.memo: dict[bytes, bytes] = {}
+        self.whole = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = self.splits_on_space()
         self.by_parts = self.by_word and self.splits_off_signs()
 
@@ -130,11 +133,29 @@ class Encoder:
         return out
 
     # --- long texts ----------------------------------------------------------------------
-    def _pieces(self, lo: int, hi: int) -> list[tuple[int, int]]:
+    def _outside(self, text: str, p: int, left: bool) -> int:
+        """p, or the nearest place to its left or right that is not inside an added token, which is cut out of the raw text before all else."""
+        moved = True
+        while moved:
+            moved = False
+            for t in self.whole:
+                at = text.find(t, max(0, p - len(t) + 1), p + len(t) - 1)
+                if 0 <= at < p < at + len(t):
+                    p, moved = (at if left else at + len(t)), True
+        return p
+
+    def _middle(self, text: str, lo: int, hi: int) -> int | None:
+        """Where text[lo:hi] is halved; None if it is a leaf."""
         if hi - lo <= self.leaf:
-            return [(lo, hi)]
-        mid = (lo + hi) // 2
-        return self._pieces(lo, mid) + self._pieces(mid, hi)
+            return None
+        mid = self._outside(text, (lo + hi) // 2, True)
+        if mid <= lo:
+            mid = self._outside(text, (lo + hi) // 2, False)
+        return mid if lo < mid < hi else None
+
+    def _pieces(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        mid = self._middle(text, lo, hi)
+        return [(lo, hi)] if mid is None else self._pieces(text, lo, mid) + self._pieces(text, mid, hi)
 
     @staticmethod
     def _node(e, at: int) -> Node:
@@ -165,7 +186,7 @@ class Encoder:
         """The encoding of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
         w = self.window
         while True:
-            a, b = max(lo, mid - w), min(hi, mid + w)
+            a, b = max(lo, self._outside(text, max(lo, mid - w), True)), min(hi, self._outside(text, min(hi, mid + w), False))
             win = self._node(self.tok.encode(text[a:b], add_special_tokens=False), a)
             at_left = (0, 0) if a == lo else self._agree(left, win, True)
             at_right = (len(right.ids), len(win.ids)) if b == hi else self._agree(right, win, False)
@@ -174,14 +195,14 @@ class Encoder:
             w *= 2
 
     def _tree(self, text: str, lo: int, hi: int, leaves: Iterator[Node]) -> Node:
-        if hi - lo <= self.leaf:
+        mid = self._middle(text, lo, hi)
+        if mid is None:
             return next(leaves)
-        mid = (lo + hi) // 2
         left = self._tree(text, lo, mid, leaves)
         return self.join(text, lo, mid, hi, left, self._tree(text, mid, hi, leaves))
 
     def encode_trees(self, texts: Sequence[str]) -> list[np.ndarray]:
-        spans = [(t, a, b) for t in texts for a, b in self._pieces(0, len(t))]
+        spans = [(t, a, b) for t in texts for a, b in self._pieces(t, 0, len(t))]
         done = self.tok.encode_batch([t[a:b] for t, a, b in spans], add_special_tokens=False)
         leaves = (self._node(e, a) for e, (_, a, _) in zip(done, spans, strict=True))
         return [self._tree(t, 0, len(t), leaves).ids for t in texts]
