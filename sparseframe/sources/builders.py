@@ -82,7 +82,9 @@ def from_csr_tables(row_ptr: DataFrame, entries: DataFrame, m: int, n: int, dt:
     # the last row of a chunk of rows has its end in the next chunk
     nxt = row_ptr.select((F.col("i") - 1).alias("i"), (F.col("ptr") - index_base).alias("end"))
     ranges = ranges.join(nxt, "i").select("i", "lo", F.coalesce("hi", "end").alias("hi")).where("hi > lo")
-    wide = ranges.select("i", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    # a long row is dealt out by chunks of its positions before they are listed
+    cut = ranges.select("i", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))).alias("b")).repartition("b")
+    wide = cut.select("i", F.explode(F.sequence(F.greatest("lo", F.col("b") * size), F.least("hi", (F.col("b") + 1) * size) - 1)).alias("pos"))
     rows = wide.join(entries.select("pos", (F.col("j") - index_base).alias("j"), "v"), "pos")
     return from_table(rows, m, n, dt)
 

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_golden import values
 
+from sparseframe.operators import optimize, solve, vector
 from sparseframe.operators import products as P
-from sparseframe.operators import solve, vector
 from sparseframe.operators.matrix import identity, null
 from sparseframe.plans.meta import ExecutionFailure, InputParameterError, get_reproducibility, reproducible, set_reproducibility
 from sparseframe.sources import builders as B
@@ -127,3 +127,19 @@ def test_reproducible_sums(spark):
     assert len(got) == 1 and get_reproducibility() == "default"
     with pytest.raises(InputParameterError):
         set_reproducibility("sometimes")
+
+
+def test_optimize_checks_and_prepares(spark, monkeypatch):
+    a, b = B.from_csr(spark, 4, 4, *LOW), B.from_coo(spark, 4, 2, [0, 3], [1, 0], [1, 1])
+    assert {tuple(r) for r in optimize.spmm_optimize(a, b).collect()} == {(0, 1), (1, 1), (3, 0)}
+    assert optimize.spmv_optimize(a).query()["nnz"] == 6 and optimize.spadd_optimize(a, a) is None and optimize.spelmm_optimize(a, a, "T") is None
+    assert optimize.sddmm_optimize(a, b, b) == "join" and optimize.sddmm_optimize(a, b, B.from_dense(spark, 4, 2, [1] * 8)) == "arrays"
+    assert optimize.spsv_optimize(a).method == "fold"
+    monkeypatch.setattr(solve, "FOLD_ROWS", 2)
+    ready = optimize.spsm_optimize(a)
+    assert ready.method == "levels" and ready.levels.count() == 4
+    monkeypatch.setattr(solve, "MAX_LEVELS", 1)
+    assert optimize.spsv_optimize(a).method == "blocks"
+    for f in (lambda: optimize.spmm_optimize(b, b), lambda: optimize.spadd_optimize(a, b), lambda: optimize.sddmm_optimize(a, b, a), lambda: optimize.spsv_optimize(null(spark, 2, 2))):
+        with pytest.raises(InputParameterError):
+            f()
