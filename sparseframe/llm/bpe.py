@@ -16,6 +16,7 @@ tokenizers served here (``splits_on_space`` checks that), so a bounded memo of w
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, sliced, without
 
 #: Words kept in the memo of a worker, and the longest word in it, in bytes.
-MEMO_WORDS, MEMO_BYTES = 600_000, 64
+MEMO_WORDS, MEMO_BYTES = 500_000, 64
 _MARK = "\x01"
 #: Latin letters that stay the same under NFC and are lower-cased one by one, then ASCII signs but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -70,6 +71,8 @@ class Encoder:
         self.whole = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = self.splits_on_space()
         self.by_parts = self.by_word and self.splits_off_signs()
+        self.parts: dict[str, bytes] = {"": b""}
+        self.bare = self._for_letters() if self.by_parts else self.tok
 
     def splits_on_space(self) -> bool:
         """Whether ASCII white space separates words without a trace, so that words can be encoded alone."""
@@ -82,18 +85,29 @@ class Encoder:
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         return all(ids(w + s) == ids(w.lower()) + ids(s) for w in ("Ab", "THE", "ÉTÉ", "x") for s in ("!", ",", "***", "_", "&&&", '").', "-", "<|"))
 
+    def _for_letters(self):
+        """The tokenizer without the steps that leave lower-case Latin letters as they are, if it then gives the same ids."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_str(self.tok.to_str())
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = [f" {_MARK} ".join(["the", "été", "ñandú", "straße", "œuvre", "łódź", "zzyzx" * 5]), "a", "ſ", _MARK]
+        ids = lambda t: [e.ids for e in t.encode_batch_fast(probe, add_special_tokens=False)]
+        return bare if ids(bare) == ids(self.tok) else self.tok
+
     # --- short texts -------------------------------------------------------------------
-    def _new(self, words: Sequence[str]) -> list[bytes]:
+    def _new(self, words: Sequence[str], tok) -> list[bytes]:
         """Ids of separate words. Many are encoded in one call, with a control character between them whose id marks the bounds."""
         out = [b""] * len(words)
-        mark = self.tok.encode(_MARK, add_special_tokens=False).ids
+        mark = tok.encode(_MARK, add_special_tokens=False).ids
         alone = [i for i, w in enumerate(words) if len(mark) != 1 or _MARK in w or "<|" in w]
         skip = set(alone)
-        rest = [i for i in range(len(words)) if i not in skip]
-        for i, e in zip(alone, self.tok.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+        rest = [i for i in range(len(words)) if i not in skip] if alone else range(len(words))
+        for i, e in zip(alone, tok.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
         groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-        for g, e in zip(groups, self.tok.encode_batch_fast([f" {_MARK} ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, tok.encode_batch_fast([f" {_MARK} ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             flat, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == mark[0])).tolist(), 4 * len(ids)]
             if len(ends) != len(g):
@@ -105,24 +119,39 @@ class Encoder:
         return out
 
     def _learn(self, miss: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the memo lacks; plain words are put together from their letters and the signs after them, which are pre-tokens of their own."""
-        parts: dict[bytes, tuple[str, ...]] = {}
+        """Ids of words that the memo lacks. Plain words are put together from their letters and the signs after them, which are pre-tokens of their own."""
+        parts, plan, other, match = self.parts, [], [], _PLAIN.fullmatch if self.by_parts else lambda _: None
+        new: dict[str, bytes] = {}
         for w in miss:
             t = w.decode()
-            m = _PLAIN.fullmatch(t) if self.by_parts else None
-            parts[w] = (m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (t,)
-        need = list({p for ps in parts.values() for p in ps})
-        known = {p: self.memo.get(p.encode()) for p in need}
-        new = [p for p in need if known[p] is None]
-        known |= zip(new, self._new(new), strict=True)
-        self.memo.update((p.encode(), known[p]) for p in new if len(p) <= MEMO_BYTES // 4)
-        return {w: known[ps[0]] + known[ps[1]] if len(ps) == 2 else known[ps[0]] for w, ps in parts.items()}
+            m = match(t)
+            if m is None:
+                other.append(w)
+                continue
+            a, b = m.groups()
+            a = a.lower()
+            plan.append((w, a, b))
+            if a not in parts:
+                new[a] = b""
+            if b not in parts:
+                new[b] = b""
+        if new:
+            letters, signs = [p for p in new if p[0].isalpha()], [p for p in new if not p[0].isalpha()]
+            parts.update(zip(letters, self._new(letters, self.bare), strict=True))
+            parts.update(zip(signs, self._new(signs, self.tok), strict=True))
+        got = {w: parts[a] + parts[b] for w, a, b in plan}
+        got.update(zip(other, self._new([w.decode() for w in other], self.tok), strict=True))
+        for p in [p for p in new if len(p) > MEMO_BYTES // 2]:
+            del parts[p]
+        return got
 
     def encode_words(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts, by words."""
         split = [t.split() for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
+        if len(self.parts) > MEMO_WORDS:
+            self.parts = {"": b""}
         memo = self.memo
         got = self._learn(list(set().union(*split).difference(memo)))
         memo.update(got)
@@ -218,6 +247,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, leaf_chars: int) -> Encoder:
+    """A worker's own encoder: its memo serves all tasks that the worker runs."""
+    return Encoder(path, leaf_chars)
+
+
 class Decoder:
     """Ids to text as the library's decode(ids, skip_special_tokens=False); by a table of tokens where it has no decoder of its own."""
 
@@ -240,7 +275,7 @@ def _sha(s: str) -> str:
 
 def _run(path: str, leaf: int, outputs: Sequence[str], n_cols: int, text_at: int):
     def run(batches):
-        enc = Encoder(path, leaf)
+        enc = encoder(path, leaf)
         dec = Decoder(enc.tok)
         make = {
             "n_tokens": lambda ids, _: len(ids),

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, vocabulary_path
+from .bpe import encoder, vocabulary_path
 from .common import Scratch, bounded_batches, sliced
 
 BLOCK = 1024
@@ -169,7 +169,7 @@ _FILE = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int6
 
 def _writer(path: str, end_id: int | None, segment_ids: int):
     def run(batches):
-        enc, shard = Encoder(path, leaf_chars=1 << 40), TaskContext.get().partitionId()
+        enc, shard = encoder(path, 1 << 40), TaskContext.get().partitionId()
         names, docs, held, seq, first = [], [], 0, 0, 0
         tail = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
 
@@ -250,6 +250,9 @@ def read_tokens(spark: SparkSession, where: str, outputs: Sequence[str] = ("n_to
 def token_files(docs: DataFrame, out: str | None = None, outputs: Sequence[str] = ("n_tokens", "ids_crc32"), **options) -> DataFrame:
     """Writes the files (to the shared folder unless `out` is given) and reads them back."""
     spark = docs.sparkSession
-    out = out or f"{Scratch(spark).root}/tokens"
-    write_tokens(docs, out, **options)
+    tmp = Scratch(spark)
+    write_tokens(docs, out or f"{tmp.root}/tokens", **options)
+    if out is None:
+        out = f"{tmp.root}/tokens"
+        tmp.expire()
     return read_tokens(spark, out, outputs)
