@@ -41,15 +41,23 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.expire()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _at(self, *name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *name)))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def expire(self) -> None:
+        """What is left goes when the application ends: results are lazy and may read it until then."""
+        fs, path = self._at()
+        fs.deleteOnExit(path)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._at(name)
+            fs.delete(path, True)
 
 
 def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

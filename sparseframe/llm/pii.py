@@ -31,8 +31,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _LOCAL = "A-Za-z0-9._%+-"
-#: The email pattern from an "@" outwards, so that long texts without one cost nothing.
-_BEFORE = re.compile(rf"[{_LOCAL}]+\Z")
+_ONE_LOCAL = re.compile(rf"[{_LOCAL}]")
+#: The email pattern from an "@" on; what stands before it is walked back to.
 _AFTER = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
@@ -48,7 +48,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
     out, done, at = [], 0, text.find("@")
     while at >= 0:
         a = at
-        while a > done and re.match(rf"[{_LOCAL}]", text[a - 1]):
+        while a > done and _ONE_LOCAL.match(text[a - 1]):
             a -= 1
         m = _AFTER.match(text, at) if a < at else None
         if m:
