@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, sliced, without
 
 #: Words kept in the memo of a worker, and the longest word in it, in bytes.
-MEMO_WORDS, MEMO_BYTES = 500_000, 64
+MEMO_WORDS, MEMO_BYTES = 700_000, 64
 _MARK = "\x01"
 #: Latin letters that stay the same under NFC and are lower-cased one by one, then ASCII signs but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)")

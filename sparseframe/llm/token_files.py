@@ -31,6 +31,9 @@ BLOCK = 1024
 SLOTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
 _U = np.uint64
+#: Ids from which on a slot is too narrow, and the narrowest slot of each id under 65,536.
+_LIMITS = np.array([1 << w for _, w in SLOTS], dtype=_U)
+_NARROWEST = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=_U), side="right").astype(np.uint8)
 _HEAD = struct.Struct("<4sIIIQQ")
 _MAGIC = b"S8B1"
 
@@ -49,7 +52,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.full(blocks, BLOCK)
     length[-1] = n - (blocks - 1) * BLOCK
     # the narrowest slot for each id, and the largest of each run of 2**k ids
-    need = np.searchsorted(np.array([1 << w for _, w in SLOTS], dtype=_U), x, side="right").astype(np.uint8)
+    need = _NARROWEST[np.minimum(x, _U(0xFFFF)).astype(np.uint16)]
+    wide_ids = x > _U(0xFFFF)
+    if wide_ids.any():
+        need[wide_ids] = np.searchsorted(_LIMITS, x[wide_ids], side="right")
     runs = {1: need}
     k = 1
     while k < 32:
@@ -68,7 +74,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if c > p:
             top = top.copy()
             top[:, : wide - (c - p)] = np.maximum(top[:, : wide - (c - p)], runs[p][:, c - p :])
-        best[top <= s] = s
+        np.putmask(best, top <= s, s)
     step = np.array([c for c, _ in SLOTS] + [1, 1], dtype=np.int64)
     at, rows, where, sels, order = np.zeros(blocks, np.int64), [], [], [], []
     live, t = np.arange(blocks), 0
@@ -82,14 +88,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         live = live[at[live] < length[live]]
         t += 1
     row, pos, sel, turn = (np.concatenate(v) for v in (rows, where, sels, order))
+    cells, at = x.ravel(), row * wide + pos
     words = np.zeros(len(row), dtype=_U)
     high = np.zeros(len(row), dtype=_U)
     for s, (c, w) in enumerate(SLOTS):
         i = np.flatnonzero(sel == s)
         if len(i):
-            v = np.zeros(len(i), dtype=_U)
+            from_, v = at[i], np.zeros(len(i), dtype=_U)
             for d in range(c):
-                v |= x[row[i], pos[i] + d] << _U(d * w)
+                v |= cells.take(from_ + d) << _U(d * w)
             words[i] = v | _U(s << 60)
     esc = np.flatnonzero(sel == ESCAPE)
     if len(esc):
@@ -125,10 +132,16 @@ def unpack(words: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
         i = np.flatnonzero(sel == s)
         if not len(i):
             continue
-        mask, v, p, e = _U((1 << w) - 1), words[i], pos[i], stop[i]
+        mask, p = _U((1 << w) - 1), pos[i]
+        # a block's last word may hold more slots than ids are left
+        short = p + c > stop[i]
+        whole = i[~short]
+        v, p = words[whole], pos[whole]
         for d in range(c):
-            ok = p + d < e
-            out[(p + d)[ok]] = ((v >> _U(d * w)) & mask)[ok]
+            out[p + d] = (v >> _U(d * w)) & mask
+        for k in i[short].tolist():
+            left = int(stop[k] - pos[k])
+            out[pos[k] : pos[k] + left] = (words[k] >> (np.arange(left, dtype=_U) * _U(w))) & mask
     if len(esc):
         low, top = words[esc[0::2]] & _U(0xFFFFFFFF), words[esc[1::2]] & _U(0xFFFFFFFF)
         out[pos[esc[0::2]]] = low | (top << _U(32))
