@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, sliced, without
+from .common import Scratch, bounded_batches, clean_name, sliced
 from .kernels import U, mix
 
 _MUL = 0x9E3779B97F4A7C15
@@ -208,8 +208,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, **options) -> DataFrame:
-    """docs without the rows whose text holds a test item within its edit budget. Clean rows stay as they are."""
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, broadcast_leaks: int = 1_000_000, **options) -> DataFrame:
+    """docs without the rows whose text holds a test item within its edit budget. Clean rows stay as they are.
+
+    The leaks' ids are written once; up to `broadcast_leaks` of them are broadcast, so that
+    documents stay where they are, more are joined by shuffle. Rows with a null id stay.
+    """
     flag = clean_name("_leak", docs.columns)
-    leaks = matches(docs, items, id_col, text_col, percent, **options).select(F.col("doc_id").alias(flag)).distinct()
+    found = matches(docs, items, id_col, text_col, percent, **options).select(F.col("doc_id").alias(flag)).where(F.col(flag).isNotNull()).distinct()
+    leaks = Scratch(docs.sparkSession).cut(found, "leaks")
+    if leaks.count() <= broadcast_leaks:
+        leaks = F.broadcast(leaks)
     return docs.join(leaks, F.col(f"`{id_col}`") == F.col(flag), "left_anti")

@@ -105,14 +105,16 @@ def host_verdicts(rows: DataFrame, host_col: str, host_rate: float = 0.5, min_st
 
 
 def quality_rules(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", keep_text: bool = True, min_words: int = 50, repeat_percent: int = 50, host_rate: float = 0.5
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", keep_text: bool = True, min_words: int = 50, repeat_percent: int = 50, host_rate: float = 0.5, broadcast_hosts: int = 500_000
 ) -> DataFrame:
     """docs -> docs with MEASURES, base_failed, host_rate and kept; the text column is left out if not `keep_text`.
 
     A document with a null host is judged by the base rules alone (host_rate null). Rows are
     never merged: repeated rows each count and each come back. Input columns named like an
     output are dropped. The rows with their measures are written once to the shared folder;
-    from there they are read for the hosts' sums and for the verdicts.
+    from there they are read for the hosts' sums and for the verdicts. Verdicts of up to
+    `broadcast_hosts` hosts are broadcast; more are joined by shuffle, where adaptive
+    execution splits the partitions of hosts with many documents.
     """
     out = ("base_failed", "host_rate", "kept")
     rows = measured(without(docs, out), text_col).withColumn("base_failed", base_failed(min_words, repeat_percent))
@@ -123,7 +125,11 @@ def quality_rules(
     hosts = host_verdicts(rows, host_col, host_rate)
     h = clean_name("_host", rows.columns)
     r, bad = clean_name("_rate", rows.columns), clean_name("_rejected", rows.columns)
+    hosts = tmp.cut(hosts, "hosts")
     verdicts = hosts.select(F.col("host").alias(h), F.col("rate").alias(r), F.col("rejected").alias(bad))
+    if hosts.count() <= broadcast_hosts:
+        # so documents stay where they are, and a host with a third of them too
+        verdicts = F.broadcast(verdicts)
     joined = rows.join(verdicts, F.col(f"`{host_col}`") == F.col(h), "left")
     return joined.withColumn("host_rate", F.col(r)).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(bad), F.lit(False))).drop(h, r, bad)
 
