@@ -522,3 +522,104 @@ def solve_residual(spark, d):
     a = triangle(spark, d)
     y = P.spmv(a, _true(spark)).withColumn("rhs", F.lit(0).cast("long"))
     return solve.residual(a, solve.spsm(a, y), y)
+
+
+# --- solves over whole tables -------------------------------------------------------------------------------
+# Every lineitem row enters and rows grow with the tables. Recursion over so many rows is too slow in SQL: right-hand
+# sides are made from known whole numbers and diagonals are twos, so a right solve gives those numbers back exactly.
+
+
+def part_supplier_triangle(spark: SparkSession, d: str) -> SparseMatrix:
+    """Quantities of parts (odd numbers) and suppliers (even ones), larger number by smaller, with twos on the diagonal: long chains of dependencies."""
+    m = 2 * max(_size(spark, d, "part"), _size(spark, d, "supplier"))
+    part, supplier = 2 * F.col("l_partkey") + 1, 2 * F.col("l_suppkey")
+    low = _t(spark, d, "lineitem").select(F.greatest(part, supplier).alias("i"), F.least(part, supplier).alias("j"), F.col("l_quantity").alias("v"))
+    return builders.from_table(low.unionByName(_twos(spark, m)), m, m)
+
+
+def order_tiers(spark: SparkSession, d: str) -> SparseMatrix:
+    """Suppliers, then parts, then orders: a part depends on its suppliers, an order on its parts and suppliers, by quantity."""
+    ns, np = _size(spark, d, "supplier"), _size(spark, d, "part")
+    m = ns + np + _size(spark, d, "orders")
+    part, order = F.col("l_partkey") + ns, F.col("l_orderkey") + ns + np
+    pairs = F.array(*[F.struct(a.alias("i"), b.alias("j")) for a, b in ((part, F.col("l_suppkey")), (order, part), (order, F.col("l_suppkey")))])
+    low = _t(spark, d, "lineitem").select(F.explode(pairs).alias("e"), F.col("l_quantity").alias("v")).select("e.i", "e.j", "v")
+    return builders.from_table(low.unionByName(_twos(spark, m)), m, m)
+
+
+def _twos(spark: SparkSession, m: int) -> DataFrame:
+    return spark.range(m).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))
+
+
+def _known(spark: SparkSession, m: int) -> DataFrame:
+    return spark.range(m).select(F.col("id").alias("i"), (F.col("id") % 5 + 1).cast("double").alias("v"))
+
+
+_NT = "(SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders)"
+_NP = "2 * greatest((SELECT count(*) FROM part), (SELECT count(*) FROM supplier))"
+_KNOWN = "SELECT range AS i, CAST(range % 5 + 1 AS DOUBLE) AS v FROM range({})"
+
+
+@_query(_KNOWN.format(_NT))
+def spsv_table(spark, d):
+    a = order_tiers(spark, d)
+    return solve.spsv(a, P.spmv(a, _known(spark, a.m)))
+
+
+@_query(_KNOWN.format(_NT))
+def spsv_table_trans(spark, d):
+    a = order_tiers(spark, d)
+    return solve.spsv(a, P.spmv(a, _known(spark, a.m), trans="T"), trans="T")
+
+
+@_query(_KNOWN.format(_NP))
+def spsv_table_blocks(spark, d):
+    a = part_supplier_triangle(spark, d)
+    return solve.spsv(a, P.spmv(a, _known(spark, a.m)), method="blocks")
+
+
+@_query(f"SELECT k.range AS rhs, r.range AS i, CAST(r.range * (k.range + 1) % 5 + 1 AS DOUBLE) AS v FROM range(3) k, range({_NT}) r")
+def spsm_table(spark, d):
+    a = order_tiers(spark, d)
+    x = _known(spark, a.m).crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "rhs"))).select("rhs", F.col("i").alias("j"), (F.col("i") * (F.col("rhs") + 1) % 5 + 1).cast("double").alias("x"))
+    y = a.entries.join(x, "j").groupBy("rhs", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    return solve.spsm(a, y)
+
+
+@_query(_KNOWN.format("(SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) * (SELECT max(l_linenumber) FROM lineitem)"))
+def spsm_table_parts(spark, d):
+    """Lines of orders, each on the line before it, in parts of 1,000 orders; suppliers, on all their lines, are the separator."""
+    lines = _t(spark, d, "lineitem")
+    wide = lines.agg(F.max("l_linenumber")).first()[0]
+    n = _size(spark, d, "orders") * wide
+    m = n + _size(spark, d, "supplier")
+    at = F.col("l_orderkey") * wide + F.col("l_linenumber") - 1
+    pairs = F.array(F.struct((F.col("l_suppkey") + n).alias("i"), at.alias("j")), F.struct(at.alias("i"), (at - 1).alias("j")))
+    low = lines.select(F.explode(F.when(F.col("l_linenumber") > 1, pairs).otherwise(F.slice(pairs, 1, 1))).alias("e"), F.col("l_quantity").alias("v")).select("e.i", "e.j", "v")
+    a = builders.from_table(low.unionByName(_twos(spark, m)), m, m)
+    y = P.spmv(a, _known(spark, m)).withColumn("rhs", F.lit(0).cast("long"))
+    parts = spark.range(m).select(F.col("id").alias("i"), F.when(F.col("id") < n, F.floor(F.col("id") / (1000 * wide))).otherwise(-1).cast("int").alias("part"))
+    return solve.spsm_parts(a, parts, y, -1).select("i", "v")
+
+
+@_query(
+    """WITH s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT count(*) AS n FROM part)
+SELECT s_suppkey AS i, 0 AS level FROM supplier
+UNION ALL SELECT s.n + p_partkey, CAST(p_partkey IN (SELECT l_partkey FROM lineitem) AS INT) FROM part, s
+UNION ALL SELECT s.n + p.n + o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 2 ELSE 0 END FROM orders, s, p"""
+)
+def solve_table_levels(spark, d):
+    return solve.levels(order_tiers(spark, d))
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS rhs, CAST(0 AS DOUBLE) AS absolute, CAST(0 AS DOUBLE) AS relative")
+def solve_table_residual(spark, d):
+    a = order_tiers(spark, d)
+    y = P.spmv(a, _known(spark, a.m)).withColumn("rhs", F.lit(0).cast("long"))
+    return solve.residual(a, solve.spsm(a, y), y)
+
+
+@_query("SELECT 'lower' AS shape, 'non_unit' AS diag")
+def structure_table(spark, d):
+    shape, diag = part_supplier_triangle(spark, d).structure()
+    return spark.createDataFrame([(shape.value, diag.value)], "shape string, diag string")

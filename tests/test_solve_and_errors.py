@@ -143,3 +143,30 @@ def test_optimize_checks_and_prepares(spark, monkeypatch):
     for f in (lambda: optimize.spmm_optimize(b, b), lambda: optimize.spadd_optimize(a, b), lambda: optimize.sddmm_optimize(a, b, a), lambda: optimize.spsv_optimize(null(spark, 2, 2))):
         with pytest.raises(InputParameterError):
             f()
+
+
+def test_table_solves_take_every_line_and_levels(spark, monkeypatch):
+    from sparseframe import catalog
+
+    d = "/root/testdata/sf0.01"
+    lines = [tuple(r) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").collect()]
+    ns, np_, no = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("supplier", "part", "orders"))
+    want: dict = {}
+    for o, p, s, v in lines:
+        for e in ((ns + p, s), (ns + np_ + o, ns + p), (ns + np_ + o, s)):
+            want[e] = want.get(e, 0.0) + v
+    tiers = catalog.order_tiers(spark, d)
+    got = {(r["i"], r["j"]): r["v"] for r in tiers.entries.collect()}
+    assert tiers.m == ns + np_ + no and got == want | {(i, i): 2.0 for i in range(tiers.m)}
+    # any right-hand side, by plain substitution; auto must take the levels
+    x, below = np.zeros(tiers.m), [[] for _ in range(tiers.m)]
+    for (i, j), v in want.items():
+        below[i].append((j, v))
+    for i in range(tiers.m):
+        x[i] = (i % 11 - sum(v * x[j] for j, v in below[i])) / 2
+    monkeypatch.setattr(solve, "_by_fold", None)
+    monkeypatch.setattr(solve, "_by_blocks", None)
+    y = spark.range(tiers.m).select(F.col("id").alias("i"), (F.col("id") % 11).cast("double").alias("v"))
+    np.testing.assert_allclose(values(solve.spsv(tiers, y), tiers.m), x, rtol=1e-9)
+    chain = catalog.part_supplier_triangle(spark, d).entries.where("i > j").agg(F.sum("v"), F.count_if(F.col("i") % 2 == F.col("j") % 2)).first()
+    assert tuple(chain) == (sum(v for *_, v in lines), 0)
