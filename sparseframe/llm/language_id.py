@@ -1,7 +1,7 @@
 """Language identification by multilingual mixtures.
 
 Training counts the byte trigrams of lower-cased words (with a space at either end), hashed
-to ``2**bits`` slots, for each language of a bounded sample of texts. A word's likelihood
+to ``2**bits`` slots, for each language of a bounded sample of its texts. A word's likelihood
 under a language is the product of its trigrams'. A text is a mixture: words are drawn from
 languages in unknown proportions, which expectation-maximisation estimates. Languages enter
 in the order of their proportions under the full mixture; the set kept is the one with the
@@ -25,6 +25,11 @@ from .kernels import utf8, words
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Languages whose counts a task holds at once, and for which texts of 2 MB are looked at together (fewer where there are more languages).
+_HELD = 64
+#: Values looked up at once.
+_LOOKED_UP = 1 << 24
+
 
 class Model(NamedTuple):
     langs: list[str]
@@ -59,6 +64,12 @@ def _lower(col: pa.Array) -> pa.Array:
 
 
 def _counter(bits: int):
+    def flush(total):
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "slot", "n"])
+        total.clear()
+
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for whole in batches:
@@ -69,27 +80,37 @@ def _counter(bits: int):
                 for i, lang in enumerate(langs):
                     got = np.bincount(slots[bounds[i] : bounds[i + 1]], minlength=1 << bits)
                     total[lang] = total[lang] + got if lang in total else got
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "slot", "n"])
+                    if len(total) > _HELD:
+                        yield from flush(total)
+        yield from flush(total)
 
     return run
 
 
-def train(rows: DataFrame, bits: int = 16, max_train: int = 20_000, max_langs: int = 64, smoothing: float = 0.5) -> Model:
-    """rows (id, text, lang) -> Model, from the `max_train` rows with the least hash of their id; the `max_langs` languages with the most rows there are learned."""
+def train(rows: DataFrame, bits: int = 16, max_train: int = 20_000, smoothing: float = 0.5) -> Model:
+    """rows (id, text, lang) -> Model of every lang, each from about `max_train` of its rows at most: all where it has no more, else those whose id's hash is under the lang's own bound.
+
+    The model has ``2**bits`` slots of 4 bytes for each language, 262 kB at 16 bits.
+    """
     bounded_batches(rows.sparkSession)
-    seen = rows.where("text is not null and lang is not null").select("id", "text", "lang", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    bound = seen.select("h", "id").orderBy("h", "id").limit(max_train).agg(F.max("h")).first()[0]
-    if bound is None:
+    seen = rows.where("text is not null and lang is not null").select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("h"))
+    sizes = seen.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row for each language
+    if not sizes:
         return Model([], bits, np.zeros((1 << bits, 0), np.float32))
-    sample = seen.where(F.col("h") <= bound)
-    langs = sorted(r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    counts = sample.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(_counter(bits), "lang string, slot long, n long")
-    n = np.full((1 << bits, len(langs)), smoothing)
-    for r in counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # at most 2**bits * max_langs
-        n[r.slot, langs.index(r.lang)] += r.n
-    return Model(langs, bits, np.log(n / n.sum(axis=0)).astype(np.float32))
+    langs = sorted(r["lang"] for r in sizes)
+    # the least hash is always in: repeated ids may share one far above the bound
+    bounds = [(r["lang"], max(r["least"], min((max_train << 64) // r["n"], 1 << 64) - (1 << 63) - 1)) for r in sizes]
+    bound = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    sample = seen.join(F.broadcast(bound), "lang").where("h <= bound").select("text", "lang")
+    counts = sample.mapInArrow(_counter(bits), "lang string, slot long, n long")
+    logp = np.empty((1 << bits, len(langs)), np.float32)
+    got = dict(list(counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas().groupby("lang")))  # at most 2**bits rows a language
+    for k, lang in enumerate(langs):
+        n = np.full(1 << bits, smoothing)
+        if lang in got:
+            n[got[lang].slot.to_numpy()] += got[lang].n.to_numpy()
+        logp[:, k] = np.log(n / n.sum())
+    return Model(langs, bits, logp)
 
 
 def _sums(x: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -113,6 +134,17 @@ def _em(like: np.ndarray, row: np.ndarray, first: np.ndarray, allowed: np.ndarra
     return pi, _sums(np.log(mix)[:, None], row, first)[:, 0]
 
 
+def _likelihoods(logp: np.ndarray, slots: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of logp over each word's trigrams: (words, languages). Words are taken some at a time."""
+    out = np.zeros((len(start), logp.shape[1]), np.float32)
+    ends, most, a = np.append(start[1:], len(slots)), max(1, _LOOKED_UP // max(logp.shape[1], 1)), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(ends, start[a] + most, "right")))
+        out[a:b] = np.add.reduceat(logp[slots[start[a] : ends[b - 1]]], start[a:b] - start[a], axis=0)
+        a = b
+    return out
+
+
 def predict(col: pa.Array, model: Model, iterations: int = 8, penalty: float = 2.0) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Per text: the language (`und` without a letter), its share in the mixture, and how many languages were kept."""
     m, k = len(col), len(model.langs)
@@ -127,7 +159,7 @@ def predict(col: pa.Array, model: Model, iterations: int = 8, penalty: float = 2
     if not k:
         return ["und"] * m, np.zeros(m), np.zeros(m, np.int64)
     row = np.repeat(np.arange(m), np.diff(first))
-    logl = np.add.reduceat(model.logp[slots], start, axis=0) if len(start) else np.zeros((0, k), np.float32)
+    logl = _likelihoods(model.logp, slots, start)
     # per word only ratios matter; e**-30 is the least that counts
     like = np.exp(np.maximum(logl - logl.max(axis=1, keepdims=True), np.float32(-30))) if len(logl) else logl
     best_pi, _ = _em(like, row, first, np.ones((m, k)), iterations)
@@ -164,7 +196,7 @@ def _predictor(sent, n_cols: int, iterations: int, penalty: float):
     def run(batches):
         model = sent.value
         for whole in batches:
-            for batch in sliced(whole, whole.schema.names[n_cols], 2 << 20):
+            for batch in sliced(whole, whole.schema.names[n_cols], (2 << 20) * _HELD // max(_HELD, len(model.langs))):
                 langs, share, size = predict(pa.compute.fill_null(batch.column(n_cols), ""), model, iterations, penalty)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(langs, pa.string()), pa.array(share, pa.float64()), pa.array(size, pa.int64())], names=[*batch.schema.names[:n_cols], "lang_pred", "score", "n_langs"])
 

@@ -178,3 +178,17 @@ def test_long_conversations_come_in_parts(spark):
     assert "".join(r["text"] for r in got) == render([(role, text) for _, role, text in order], "a")[0]
     for r in got:
         assert all(r["text"][slice(*map(int, s.split(":")))].endswith("<|im_end|>") for s in r["mask"].split(",") if s)
+
+
+def test_every_language_is_learned_also_rare_ones(spark):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(r.choice(letters) for _ in range(7)) for _ in range(30)] for k in range(70)}
+    rows, i = [], 0
+    for k, (lang, own) in enumerate(words.items()):
+        for _ in range(400 if k == 0 else 6):
+            rows.append((i, " ".join(r.choice(own) for _ in range(60)), lang))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id(df, max_train=50).collect()}
+    assert got == {i: lang for i, _, lang in rows}
