@@ -74,11 +74,12 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
 class Index(NamedTuple):
     """Pieces of a block of items, by the hash of their first characters."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[str]
     percent: int
     grams: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (hashes ascending, rows of `where`)
     where: list[tuple[int, int, str]]  # item, offset, piece
+    min_chars: int  # shorter items stand whole, between word boundaries
 
 
 def _codes(text: str) -> np.ndarray:
@@ -110,11 +111,11 @@ def _grams(codes: np.ndarray, g: int) -> np.ndarray:
     return out
 
 
-def index(rows: list[tuple[int, str]], percent: int) -> Index:
-    """rows: ids and normalised texts."""
+def index(rows: list[tuple[int | None, str]], percent: int, min_chars: int = 0) -> Index:
+    """rows: ids and normalised texts. Items of under `min_chars` characters have no edit budget."""
     where, by_len = [], {}
     for i, (_, item) in enumerate(rows):
-        for off, piece in pieces(item, percent):
+        for off, piece in pieces(item, percent if len(item) >= min_chars else 0):
             by_len.setdefault(min(len(piece), _GRAM), []).append(len(where))
             where.append((i, off, piece))
     grams = {}
@@ -122,7 +123,12 @@ def index(rows: list[tuple[int, str]], percent: int) -> Index:
         h = np.array([_grams(_codes(where[w][2][:g]), g)[0] for w in at], dtype=U)
         order = np.argsort(h, kind="stable")
         grams[g] = (h[order], np.array(at)[order])
-    return Index([i for i, _ in rows], [t for _, t in rows], percent, grams, where)
+    return Index([i for i, _ in rows], [t for _, t in rows], percent, grams, where, min_chars)
+
+
+def _apart(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends within a word."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
 
 
 def search(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
@@ -143,12 +149,15 @@ def search(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
             for w in rows[a:b].tolist():
                 i, off, piece = ix.where[w]
                 if joined.startswith(piece, p):
+                    if len(ix.items[i]) < ix.min_chars and not _apart(joined, p, p + len(piece)):
+                        continue
                     d = int(np.searchsorted(begin, p, "right")) - 1
                     places.setdefault((d, i), set()).add(p - off - int(begin[d]))
     out = []
     for (d, i), starts in places.items():
         text, item = texts[d], ix.items[i]
-        m, k = len(item), budget(len(item), ix.percent)
+        m = len(item)
+        k = budget(m, ix.percent) if m >= ix.min_chars else 0
         best = None
         if any(s >= 0 and text.startswith(item, s) for s in starts):
             s = min(s for s in starts if s >= 0 and text.startswith(item, s))
@@ -190,8 +199,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, item_id, start, end, distance, item_chars): each row's best stretch for each test item within the item's edit budget.
 
     start and end are character positions in the normalised text. Null and empty texts match
-    nothing. Items of under `min_chars` normalised characters say too little to be a leak and
-    are left out, as are null ones. Repeated documents and items give a row each.
+    nothing. Items of under `min_chars` normalised characters have no edit budget and are found
+    only where they neither begin nor end within a word. Null and blank items match nothing; an
+    item with a text but no id has a null item_id in its rows. Repeated documents and items
+    give a row each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -202,8 +213,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     found = None
     for b in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else tests
-        known = sorted((r["item_id"], t) for r in part.collect() if r["item_id"] is not None and len(t := normal(r["text"])) >= min_chars)
-        got = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(index(known, percent))), "doc_id long, item_id long, start long, end long, distance long, item_chars long")
+        known = sorted(((r["item_id"], t) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        got = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(index(known, percent, min_chars))), "doc_id long, item_id long, start long, end long, distance long, item_chars long")
         found = got if found is None else found.unionByName(got)
     return found
 

@@ -172,3 +172,12 @@ def test_matches_are_brute_force(spark):
     assert {x["doc_id"] for x in clean} == {d for d, _ in docs} - {d for d, _ in want}
     assert matches(df, bench.limit(0)).collect() == [] and matches(df.limit(0), bench).collect() == []
     assert search(["x"], index([], 5)) == []
+
+
+def test_short_and_unnamed_items_are_found(spark):
+    docs = [(1, "He said: Ask  Me again!"), (2, "task me again"), (3, "ask me against"), (4, "a long item that nobody has named stands here"), (5, "nothing"), (6, "task me again, then ask me again")]
+    items = [(7, "ask me again"), (None, "long item that nobody has named"), (8, None), (None, " "), (None, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["start"], x["end"], x["distance"]) for x in matches(df, bench).collect())
+    assert got == [(1, 7, 9, 21, 0), (4, None, 2, 33, 0), (6, 7, 20, 32, 0)]
+    assert {x["doc_id"] for x in decontaminate(df, bench).collect()} == {2, 3, 5}
