@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparseframe.llm.bpe import bpe
-from sparseframe.llm.common import Scratch, table
+from sparseframe.llm.common import SPACES, Scratch, table
 from sparseframe.llm.decontaminate import decontaminate
 from sparseframe.llm.ngram_join import ngram_jaccard
 from sparseframe.llm.pii import find_pii
@@ -25,10 +25,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the least id. Documents without words stay."""
+    """One document of each group: the least id. Documents without words stay.
+
+    Repeated rows, of one id and one text, become one row; one id with several texts is one
+    node, and its texts stay or go together. Rows without an id are told apart by their text
+    alone: one row of each text stays, or none if its words stand, exactly so, under an id.
+    Of the rows for one id and text the least (lang, source, n_chars) stays.
+    """
     groups = ngram_jaccard(docs, k=5, percent=80)
     drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.select(*COLUMNS).join(drop, F.col("doc_id") == F.col("dropped"), "left_anti")
+    rows = docs.select(*COLUMNS)
+    left = rows.join(drop, F.col("doc_id") == F.col("dropped"), "left_anti")
+    # ids that may have several rows; none in most tables, and then no text moves
+    scratch = Scratch(spark)
+    many = scratch.cut(docs.groupBy(F.col("doc_id").alias("many")).count().where("count > 1 or many is null").select("many"), "many")
+    if not many.limit(1).count():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("many"))
+    once = left.join(many, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.*")
+    named = rows.where("doc_id is not null and text is not null").select(F.col("text").alias("named"))
+    spaces = F.lit(SPACES)
+    copies = (F.col("text") == F.col("named")) & F.col("doc_id").isNull() & (F.trim("text", spaces) != "")
+    return left.join(many, same, "left_anti").unionByName(once.join(named, copies, "left_anti"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_pipeline_of_nothing_and_of_nulls(spark):
         assert cp.quality(spark, rows, SF).collect() == []
         for _, stage in cp.STAGES[1:]:
             assert stage(spark, rows, SF).count() == rows.count()
+
+
+def test_repeated_and_unnamed_rows_stay_once(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    rows = [(5, "a"), (5, "a"), (3, "b"), (3, "b"), (4, "b"), (4, "b"), (None, "c"), (None, "c"), (None, "a"), (7, "d"), (8, "e"), (8, "f")]
+    docs = spark.createDataFrame([(i, text[k], "en", f"s{n}", len(text[k])) for n, (i, k) in enumerate(rows)] + [(9, "", "en", "s", 0), (10, "", "en", "s", 0), (None, "", "en", "s", 0)], schema)
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in cp.near_duplicates(spark, docs, SF).collect())
+    want = [(5, "a", 0), (3, "b", 2), (None, "c", 6), (7, "d", 9), (8, "e", 10), (8, "f", 11)]
+    assert got == Counter([(i, text[k], f"s{n}") for i, k, n in want] + [(9, "", "s"), (10, "", "s"), (None, "", "s")])
