@@ -40,7 +40,7 @@ def _windows(words: Column, key) -> Column:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with MEASURES, each a long. A null or blank text has no words, no lines and no symbols."""
     docs = without(docs, MEASURES)
-    w, keys, hits = (clean_name(n, docs.columns) for n in ("_words", "_keys", "_hits"))
+    w, keys, hits, twins, exact = (clean_name(n, docs.columns) for n in ("_words", "_keys", "_hits", "_twins", "_exact"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(_TRIM)) != "")
     same = lambda p, q: F.forall(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda d: F.get(F.col(w), p + d) == F.get(F.col(w), q + d))
@@ -55,32 +55,28 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # neighbours in hash order with one hash: positions of windows that may be found twice
     pairs = F.filter(F.sequence(F.lit(0), n_keys - 2), lambda j: F.shiftright(F.get(F.col(keys), j).bitwiseXOR(F.get(F.col(keys), j + 1)), _POS_BITS) == 0)
     found = F.filter(F.col(hits), lambda j: same(pos(F.get(F.col(keys), j)), pos(F.get(F.col(keys), j + 1))))
-    starts = F.sort_array(F.array_distinct(F.flatten(F.transform(found, lambda j: F.array(pos(F.get(F.col(keys), j)).cast("long"), pos(F.get(F.col(keys), j + 1)).cast("long"))))))
-
-    # of very long texts: the windows themselves in order, with their positions
-    long_windows = F.array_sort(_windows(F.col(w), lambda i: F.struct(F.slice(F.col(w), i + 1, 3).alias("w"), i.cast("long").alias("i"))))
-    long_starts = F.sort_array(
-        F.transform(
-            F.filter(
-                F.transform(long_windows, lambda x, j: F.struct(x["i"].alias("i"), ((F.get(long_windows, j - 1)["w"] == x["w"]) | (F.get(long_windows, j + 1)["w"] == x["w"])).alias("two"))),
-                lambda x: F.coalesce(x["two"], F.lit(False)),
-            ),
-            lambda x: x["i"],
-        )
-    )
+    starts = F.sort_array(F.array_distinct(F.flatten(F.transform(F.col(twins), lambda j: F.array(pos(F.get(F.col(keys), j)).cast("long"), pos(F.get(F.col(keys), j + 1)).cast("long"))))))
+
+    # of very long texts, and where other words share a hash and may stand between twins: the windows themselves in order, with their positions
+    windows = F.array_sort(_windows(F.col(w), lambda i: F.struct(F.slice(F.col(w), i + 1, 3).alias("w"), i.cast("long").alias("i"))))
+    at = lambda j: F.get(F.col(exact), j)["w"]
+    marked = F.transform(F.col(exact), lambda x, j: F.struct(x["i"].alias("i"), (F.coalesce(at(j - 1) == x["w"], F.lit(False)) | F.coalesce(at(j + 1) == x["w"], F.lit(False))).alias("two")))
+    exact_starts = F.sort_array(F.transform(F.filter(marked, lambda x: x["two"]), lambda x: x["i"]))
     n = F.size(F.col(w))
     big = n > mask
     out = docs.withColumn(w, words_of(F.col(f"`{text_col}`").cast("string")))
     out = out.withColumn(keys, F.when((n >= 4) & ~big, F.sort_array(_windows(F.col(w), packed))).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn(hits, F.when(n_keys >= 2, pairs).otherwise(F.array().cast("array<int>")))
+    out = out.withColumn(twins, F.when(F.size(F.col(hits)) > 0, found).otherwise(F.array().cast("array<int>")))
+    out = out.withColumn(exact, F.when(big | (F.size(F.col(twins)) < F.size(F.col(hits))), windows))
     out = out.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace(text, _SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.when(big, _covered(long_starts)).when(F.size(F.col(hits)) > 0, _covered(starts)).otherwise(F.lit(0).cast("long")),
+        "n_repeat_words": F.when(F.col(exact).isNotNull(), _covered(exact_starts)).when(F.size(F.col(twins)) > 0, _covered(starts)).otherwise(F.lit(0).cast("long")),
     })
-    return out.drop(w, keys, hits)
+    return out.drop(w, keys, hits, twins, exact)
 
 
 def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:

@@ -181,3 +181,12 @@ def test_short_and_unnamed_items_are_found(spark):
     got = sorted((x["doc_id"], x["item_id"], x["start"], x["end"], x["distance"]) for x in matches(df, bench).collect())
     assert got == [(1, 7, 9, 21, 0), (4, None, 2, 33, 0), (6, 7, 20, 32, 0)]
     assert {x["doc_id"] for x in decontaminate(df, bench).collect()} == {2, 3, 5}
+
+
+def test_other_words_with_one_hash_do_not_hide_repeats(spark, monkeypatch):
+    from sparseframe.llm import quality_rules as q
+
+    monkeypatch.setattr(q.F, "xxhash64", lambda *_: F.lit(5).cast("long"))  # every window meets every other
+    texts = ["a b c x y z a b c", "a b c d e f", "a b c a b c a b c", "p q r s t p q r u v p q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["n_repeat_words"] for r in q.measured(df).orderBy("doc_id").collect()] == [measures(t)[4] for t in texts]
