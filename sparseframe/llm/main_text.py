@@ -37,7 +37,8 @@ _WORDS = frozenset(
 _HINTS = {"article": 25.0, "main": 15.0}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|<!--.*\Z", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One attribute, whole name and whole value, so that what stands in a value is never taken for a name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -58,7 +59,7 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower() or "visibility:hidden" in value.replace(" ", "").lower():
                 return True
-        elif name == "hidden" or value.lower() == "true":
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
     return False
 

@@ -192,3 +192,10 @@ def test_every_language_is_learned_also_rare_ones(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x["doc_id"]: x["lang_pred"] for x in language_id(df, max_train=50).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+def test_attributes_are_read_whole():
+    words = "one, two, three four five six seven eight nine ten eleven twelve. " * 4
+    page = "<body><article><p>{} see <a href='/the-hidden-valley'>the valley</a> there</p><div data-hidden=\"false\" title=\"hidden role=dialog\"><p>{}</p></div><div {}><p>gone</p></div></article></body>"
+    for attr in ("hidden", "HIDDEN=''", "aria-hidden=true", "role='Dialog'", "id=sidebar", 'title="x" class="cookie-bar"', "style='display: none'"):
+        assert main_text(page.format(words, words, attr)) == f"{words}see the valley there {words}".strip()
