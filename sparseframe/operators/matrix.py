@@ -14,8 +14,8 @@ from ..plans.meta import Diag, InputParameterError, MatrixMeta, Shape, Trans, ch
 class SparseMatrix:
     """Immutable: every operation gives a new matrix with a lazy plan; only scalars come to the driver."""
 
-    def __init__(self, entries: DataFrame, meta: MatrixMeta):
-        self.entries, self.meta = entries, meta
+    def __init__(self, entries: DataFrame, meta: MatrixMeta, held: tuple[DataFrame, ...] = ()):
+        self.entries, self.meta, self.held = entries, meta, held  # held: frames kept for this matrix, until destroy()
 
     # --- facts ----------------------------------------------------------------------------
     m = property(lambda self: self.meta.m)
@@ -47,13 +47,12 @@ class SparseMatrix:
         return self.entries.groupBy(by).agg(F.count("*").alias("nnz"))
 
     def mgmd(self) -> float:
-        """Mean over all rows of the geometric mean of the gaps between a row's neighbouring columns."""
+        """Mean over all rows of exp(sum of the logs of the gaps between neighbouring columns / number of entries): 1 for a row of one entry, 0 for an empty one."""
         if not self.m:
             return 0.0
         gap = F.col("j") - F.lag("j").over(Window.partitionBy("i").orderBy("j"))
-        gaps = self.entries.select("i", gap.alias("g")).where("g is not null")
-        means = gaps.groupBy("i").agg(F.exp(F.sum(F.ln(F.abs("g"))) / F.count("*")).alias("g"))
-        return (means.agg(F.sum("g")).first()[0] or 0.0) / self.m
+        rows = self.entries.select("i", gap.alias("g")).groupBy("i").agg(F.exp(F.coalesce(F.sum(F.ln("g")), F.lit(0.0)) / F.count("*")).alias("g"))
+        return (rows.agg(F.sum("g")).first()[0] or 0.0) / self.m
 
     # --- hints and preparation ------------------------------------------------------------
     def hint(self, name: str, value: Any) -> SparseMatrix:
@@ -65,12 +64,16 @@ class SparseMatrix:
             return self
         trans = self.meta.hints.get(f"{op}_operation", Trans.N)
         key = "j" if trans is Trans.N else "i"
-        return SparseMatrix(self.entries.repartition(key).persist(), self.meta)
+        kept = self.entries.repartition(key).persist()
+        return SparseMatrix(kept, self.meta, (kept,))
 
     def destroy(self) -> None:
-        self.entries.unpersist()
+        """Releases what was kept for this matrix; plans that read it compute it anew."""
+        for kept in (*self.held, self.entries):
+            kept.unpersist()
 
     def copy(self) -> SparseMatrix:
+        """The same entries, with nothing of its own to release."""
         return SparseMatrix(self.entries, self.meta)
 
     # --- element-wise -----------------------------------------------------------------------
@@ -105,11 +108,13 @@ class SparseMatrix:
     def drop_zeros(self) -> SparseMatrix:
         return SparseMatrix(self.entries.where(self.dtype.nonzero(F.col("v"))), self.meta.with_(kind="general" if self.meta.kind != "null" else "null"))
 
-    def convert(self, layout: str) -> SparseMatrix:
-        """The layout that exports default to. Entries stay as they are; dense and bsr hold zeros anyway."""
+    def convert(self, layout: str, block_size: int = 1) -> SparseMatrix:
+        """The layout that exports.tables gives; block_size is for bsr. Entries stay as they are; dense and bsr hold zeros anyway."""
         if layout not in ("coo", "csr", "csc", "dense", "bsr"):
             raise InputParameterError(f"no conversion to {layout!r}", 2)
-        return SparseMatrix(self.entries, self.meta.with_(layout=layout))
+        if layout == "bsr" and (block_size <= 0 or self.m % block_size or self.n % block_size):
+            raise InputParameterError("the block size must divide rows and columns", 3)
+        return SparseMatrix(self.entries, self.meta.with_(layout=layout, block_size=block_size if layout == "bsr" else 1))
 
     def rebase(self, base: int) -> SparseMatrix:
         check_base(base, 2)
@@ -126,21 +131,23 @@ class SparseMatrix:
         """changes (i, j, v[, pos]): new values of stored entries; of one entry the change with the largest pos counts.
 
         An entry out of range or not stored is an input error, and then nothing is changed.
-        Indices are in the matrix's index base.
+        Indices are in the matrix's index base. The matrix meets the changes once, in a join
+        that is kept until destroy() of the result.
         """
         b = self.meta.index_base
         pos = F.col("pos") if "pos" in changes.columns else F.monotonically_increasing_id()
         given = changes.select((F.col("i") - b).cast("long").alias("i"), (F.col("j") - b).cast("long").alias("j"), "v", pos.alias("pos"))
-        dt = self.dtype
-        new = given.groupBy("i", "j").agg(F.max_by("v", "pos").alias("u"))
-        i, j = F.col("i"), F.col("j")
-        if new.where((i < 0) | (i >= self.m) | (j < 0) | (j >= self.n)).limit(1).count():
-            raise InputParameterError("an update out of range", 3)
-        if new.join(self.entries, ["i", "j"], "left_anti").limit(1).count():
-            raise InputParameterError("an update of an entry that is not stored", 3)
-        both = self.entries.join(new, ["i", "j"], "left")
-        v = F.when(F.col("u").isNotNull(), dt.store(F.col("u"))).otherwise(F.col("v"))
-        return SparseMatrix(both.select("i", "j", v.alias("v")), self.meta.with_(kind="general"))
+        dt, i, j = self.dtype, F.col("i"), F.col("j")
+        new = given.groupBy("i", "j").agg(F.struct(F.max_by("v", "pos").alias("v")).alias("u"))
+        both = self.entries.select("i", "j", F.struct("v").alias("s")).join(new, ["i", "j"], "full").persist()
+        outside = (i < 0) | (i >= self.m) | (j < 0) | (j >= self.n)
+        missing = F.col("u").isNotNull() & F.col("s").isNull()
+        wrong = both.where(missing).agg(F.count("*").alias("n"), F.coalesce(F.max(outside), F.lit(False)).alias("outside")).first()
+        if wrong["n"]:
+            both.unpersist()
+            raise InputParameterError("an update out of range" if wrong["outside"] else "an update of an entry that is not stored", 3)
+        v = F.when(F.col("u").isNotNull(), dt.store(F.col("u.v"))).otherwise(F.col("s.v"))
+        return SparseMatrix(both.select("i", "j", v.alias("v")), self.meta.with_(kind="general"), (both,))
 
 
 def column(df: DataFrame, name: str = "v") -> Column:

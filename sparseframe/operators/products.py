@@ -143,15 +143,50 @@ def spelmm(a: SparseMatrix, b: SparseMatrix, alpha=1.0, beta=0.0, c: SparseMatri
     return _plus(product, beta, c)
 
 
+#: Columns of a dense right operand that one row of a join carries.
+PANEL = 64
+
+
+def spmm_rows(a: SparseMatrix, rows: DataFrame, n: int, alpha=1.0, trans_a: Trans | str = "N") -> DataFrame:
+    """alpha op(A) B for a dense B of n real columns, kept as rows (i, values): the product's rows (i, values), zeros where op(A) has an empty row.
+
+    Rows of B meet the entries of A in panels of PANEL columns, each a column of the join: a
+    product's row is summed in so many aggregates, not in one group for each of its cells. A
+    dense A comes as from_rows(..., keep_zeros=True).
+    """
+    dt = a.dtype
+    if dt.is_complex:
+        raise InputParameterError("dense rows are real", 5)
+    op, cols = a.op(trans_a), [f"c{k}" for k in range(min(PANEL, max(n, 1)))]
+    wide, panels = len(cols), -(-max(n, 1) // len(cols))
+    at = F.explode(F.sequence(F.lit(0), F.lit(panels - 1))).alias("panel")
+    b = rows.select(F.col("i").alias("k"), "values", at).select("k", "panel", *[F.get("values", F.col("panel") * wide + k).cast("double").alias(c) for k, c in enumerate(cols)])
+    e = op.entries.select("i", F.col("j").alias("k"), dt.work(F.col("v")).alias("a"))
+    sums = e.join(b, "k").groupBy("i", "panel").agg(*[F.sum(F.col("a") * F.col(c)).alias(c) for c in cols])
+    part = F.struct("panel", F.array(*[F.lit(float(alpha)) * F.col(c) for c in cols]).alias("x"))
+    got = sums.groupBy("i").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"])), 1, n).alias("values"))
+    zeros = F.array_repeat(F.lit(0.0), n)
+    return a.spark.range(op.m).withColumnRenamed("id", "i").join(got, "i", "left").select("i", F.coalesce("values", zeros).alias("values"))
+
+
 def _dot(u: Column, w: Column) -> Column:
     return F.aggregate(F.zip_with(u, w, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
 
+def _rows_of(a: SparseMatrix) -> DataFrame:
+    """Dense rows (i, values), of which every cell is a row before: for operands that are dense anyway."""
+    grid = a.spark.range(a.m).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))).alias("j"))
+    cells = grid.join(a.entries, ["i", "j"], "left").select("i", "j", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    return cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("values"))
+
+
 def sddmm(a: SparseMatrix, b: SparseMatrix, c: SparseMatrix, alpha=1.0, beta=0.0, trans_a: Trans | str = "N", trans_b: Trans | str = "N") -> SparseMatrix:
     """C <- alpha (op(A) op(B) at the entries stored in C) + beta C; a null C stays null.
 
     By joining on the inner index and keeping products at C's entries (each such entry joined
-    with the row of A, then the column of B): terms of other entries are never made.
+    with the row of A, then the column of B): terms of other entries are never made. Where C
+    has the hint sddmm_strategy = "arrays" (for real operands that are mostly stored): a dot
+    product of dense rows per entry of C.
     """
     dt = common_dtype(a, b, c, arg_pos=5)
     x, y = a.typed(dt).op(trans_a), b.typed(dt).op(trans_b)
@@ -166,6 +201,8 @@ def sddmm(a: SparseMatrix, b: SparseMatrix, c: SparseMatrix, alpha=1.0, beta=0.0
     if alpha == 0 or "null" in (x.meta.kind, y.meta.kind):
         v = dt.zero if old is None else old
         return _general(pattern.select("i", "j", dt.store(v).alias("v")), c.m, c.n, c, dt)
+    if c.meta.hints.get("sddmm_strategy") == "arrays" and not dt.is_complex:
+        return sddmm_rows(_rows_of(x), _rows_of(y.op("T")).withColumnRenamed("i", "j"), c, alpha, beta)
     left = x.entries.select("i", F.col("j").alias("k"), dt.work(F.col("v")).alias("a"))
     right = y.entries.select(F.col("i").alias("k"), "j", dt.work(F.col("v")).alias("b"))
     terms = pattern.select("i", "j").join(left, "i").join(right, ["k", "j"])

@@ -106,7 +106,7 @@ class Hints:
 
 @dataclass(frozen=True)
 class MatrixMeta:
-    """m rows, n columns; kind is "general", "null" (no entries) or "identity"; index_base is how indices are shown."""
+    """m rows, n columns; kind is "general", "null" (no entries) or "identity"; index_base is how indices are shown; block_size is that of block export."""
 
     m: int
     n: int
@@ -115,6 +115,7 @@ class MatrixMeta:
     index_base: int = 0
     layout: str = "coo"
     no_copy: bool = False
+    block_size: int = 1
     hints: Hints = field(default_factory=Hints)
 
     @property

@@ -89,6 +89,12 @@ def from_csr_tables(row_ptr: DataFrame, entries: DataFrame, m: int, n: int, dt:
     return from_table(rows, m, n, dt)
 
 
+def from_csc_tables(col_ptr: DataFrame, entries: DataFrame, m: int, n: int, dt: DType | str = "d", index_base: int = 0) -> SparseMatrix:
+    """Compressed columns as tables (j, ptr) and (pos, i, v)."""
+    rows = from_csr_tables(col_ptr.withColumnRenamed("j", "i"), entries.withColumnRenamed("i", "j"), n, m, dt, index_base).op("T")
+    return SparseMatrix(rows.entries, rows.meta.with_(layout="csc"))
+
+
 def from_dense(spark: SparkSession, m: int, n: int, vals: Sequence, layout: str = "row", lda: int | None = None, dt: DType | str = "d", keep_zeros: bool = False, no_copy: bool = False) -> SparseMatrix:
     """A dense array by rows ("row") or columns ("col") with leading dimension lda. Zeros are left out unless asked for."""
     check_shape(m, n)
@@ -126,7 +132,7 @@ def from_blocks(blocks: DataFrame, m: int, n: int, block_size: int, layout: str
     major, minor = F.floor(F.col("p") / b), F.col("p") % b
     r, c = (major, minor) if layout == "row" else (minor, major)
     e = p.select((F.col("bi") * b + r).cast("long").alias("i"), (F.col("bj") * b + c).cast("long").alias("j"), dt.store(F.col("v")).alias("v"))
-    a = SparseMatrix(e, MatrixMeta(m, n, dt, layout="bsr", index_base=index_base))
+    a = SparseMatrix(e, MatrixMeta(m, n, dt, layout="bsr", index_base=index_base, block_size=block_size))
     return a if keep_zeros else a.drop_zeros()
 
 
@@ -183,6 +189,18 @@ def write_matrix_market(a: SparseMatrix, path: str) -> None:
     head.orderBy("o").select("value").coalesce(1).union(lines.select("value")).write.mode("overwrite").text(path)
 
 
+def from_supernodes(supernodes: DataFrame, rows: DataFrame, values: DataFrame, m: int, n: int, dt: DType | str = "d") -> tuple[SparseMatrix, DataFrame]:
+    """A triangular matrix in supernodes, of tables: supernodes (s, first, last, part), their columns' range and the part
+    they belong to; rows (s, p, i), the list of rows that a supernode's columns share; values (j, p, v) of column j at
+    place p of its list. Zeros, and places without a value, are padding. Gives the matrix and (i, part) for every row."""
+    check_shape(m, n)
+    dt = dtype(dt)
+    columns = supernodes.select("s", "part", F.explode(F.sequence("first", "last")).alias("j"))
+    cells = values.select("j", "p", "v").join(columns.select("s", "j"), "j").join(rows.select("s", "p", "i"), ["s", "p"])
+    a = from_table(cells, m, n, dt, duplicates="unique").drop_zeros()
+    return SparseMatrix(a.entries, a.meta.with_(layout="supernodal")), columns.select(F.col("j").alias("i"), "part")
+
+
 def from_supernodal(
     spark: SparkSession, m: int, n: int, nsuper: int, nparts: int, super_row_ptr: Sequence[int], super_col_indx: Sequence[int], row_indx: Sequence[int], col_ptr: Sequence[int], vals: Sequence, part_indx: Sequence[int], dt: DType | str = "d", no_copy: bool = False
 ) -> tuple[SparseMatrix, DataFrame, int]:

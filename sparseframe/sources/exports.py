@@ -52,9 +52,10 @@ def dense(a: SparseMatrix, layout: str = "row") -> DataFrame:
     return grid.join(a.entries, ["i", "j"], "left").select((F.col(major) * inner + F.col(minor)).alias("pos"), v.alias("v"))
 
 
-def blocks(a: SparseMatrix, block_size: int = 1, layout: str = "row", base: int | None = None) -> DataFrame:
-    """(bi, bj, values) of the blocks that hold an entry, padded with zeros."""
+def blocks(a: SparseMatrix, block_size: int | None = None, layout: str = "row", base: int | None = None) -> DataFrame:
+    """(bi, bj, values) of the blocks that hold an entry, padded with zeros; block_size: the matrix's own unless given."""
     shown = _ready(a, base)
+    block_size = a.meta.block_size if block_size is None else block_size
     if layout not in ("row", "col"):
         raise InputParameterError(f"a layout is row or col, not {layout!r}", 3)
     b, dt = block_size, a.dtype
@@ -68,9 +69,10 @@ def blocks(a: SparseMatrix, block_size: int = 1, layout: str = "row", base: int
     return cells.select((F.col("bi") + shown).alias("bi"), (F.col("bj") + shown).alias("bj"), values.alias("values"))
 
 
-def bsr(a: SparseMatrix, block_size: int = 1, layout: str = "row", base: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(i, ptr) of block rows, and (pos, j, values) of the blocks in order."""
+def bsr(a: SparseMatrix, block_size: int | None = None, layout: str = "row", base: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(i, ptr) of block rows, and (pos, j, values) of the blocks in order; block_size: the matrix's own unless given."""
     b = _ready(a, base)
+    block_size = a.meta.block_size if block_size is None else block_size
     cells = blocks(a, block_size, layout, 0)
     ptr = prefix_sums(cells.groupBy(F.col("bi").alias("i")).agg(F.count("*").alias("c")), a.m // block_size)
     at = F.row_number().over(Window.partitionBy("bi").orderBy("bj")) - 1
@@ -78,6 +80,12 @@ def bsr(a: SparseMatrix, block_size: int = 1, layout: str = "row", base: int | N
     return ptr.select("i", (F.col("ptr") + b).alias("ptr")), entries
 
 
+def tables(a: SparseMatrix, base: int | None = None) -> tuple[DataFrame, ...]:
+    """The matrix's tables in the layout that it was made in or converted to (supernodes: as compressed rows)."""
+    make = {"coo": lambda: (coo(a),), "csr": lambda: csr(a, base), "csc": lambda: csc(a, base), "dense": lambda: (dense(a),), "bsr": lambda: bsr(a, base=base), "supernodal": lambda: csr(a, base)}
+    return make[a.meta.layout]()
+
+
 def _plain(v):
     return complex(v["re"], v["im"]) if hasattr(v, "asDict") else v
 
@@ -99,7 +107,7 @@ def dense_array(a: SparseMatrix, layout: str = "row") -> list:
     return [_plain(r["v"]) for r in dense(a, layout).orderBy("pos").collect()]
 
 
-def bsr_arrays(a: SparseMatrix, block_size: int = 1, layout: str = "row", base: int | None = None) -> tuple[list[int], list[int], list]:
+def bsr_arrays(a: SparseMatrix, block_size: int | None = None, layout: str = "row", base: int | None = None) -> tuple[list[int], list[int], list]:
     ptr, entries = bsr(a, block_size, layout, base)
     e = entries.orderBy("pos").collect()
     return [r["ptr"] for r in ptr.orderBy("i").collect()], [r["j"] for r in e], [_plain(v) for r in e for v in r["values"]]
