@@ -1,244 +1,389 @@
-"""Triangular solves op(A) x = alpha y for one and for many right-hand sides.
+"""Triangular solves op(A) X = alpha Y for one and for many right-hand sides.
 
-Three ways, chosen by ``method``:
+Three ways, chosen by ``method`` or by the matrix's hint ``spsv_strategy``:
 
-* ``fold``: rows in order, folded in one expression; up to FOLD_ROWS rows, any pattern.
+* ``fold``: the matrix is sent to the tasks, and each substitutes for a panel of right-hand
+  sides at a time; up to FOLD_ROWS rows and FOLD_ENTRIES entries, any pattern.
 * ``levels``: rows by the length of their longest chain of dependencies; one join and
   aggregate for each level. For matrices of any size with few levels.
-* ``blocks``: consecutive ranges of rows; each range is solved by itself after a product with
-  what is solved. For matrices of any size with long chains.
-
-``auto`` takes fold up to FOLD_ROWS rows, then levels, then blocks where there are more than
-MAX_LEVELS levels. Right-hand sides are independent: a column ``rhs`` is carried along.
+* ``blocks``: consecutive ranges of rows; a range is solved by itself after a product with
+  what is solved, and ranges that don't depend on each other are solved together. For
+  matrices of any size with long chains.
+
+``auto`` takes fold where the matrix is small enough, then levels, then blocks where there
+are more than MAX_LEVELS levels. ``prepare`` does once what depends on the matrix alone: its
+entries are written by level, so that every solve reads each of them once; solutions are
+written level by level, and a level reads those it may depend on. Right-hand sides go in
+panels: columns of one table, so that an entry of the matrix meets a panel, not a side.
 """
 
 from __future__ import annotations
 
-import math
-import tempfile
+from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import DType
 from ..plans.meta import Diag, ExecutionFailure, InputParameterError, Shape, Trans
+from ..plans.shared import Scratch
 from .matrix import SparseMatrix
 
-FOLD_ROWS, MAX_LEVELS, BLOCK_ROWS = 4096, 64, 2048
-
+FOLD_ROWS, FOLD_ENTRIES, MAX_LEVELS, BLOCK_ROWS = 4096, 1_000_000, 64, 2048
+#: Right-hand sides in a panel; pairs of dependent blocks that the driver orders (beyond, blocks go one by one).
+PANEL, MAX_PAIRS = 32, 2_000_000
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that driver and executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="sparseframe-"))
-    return df.checkpoint(eager=True)
 
-
-def _checked(a: SparseMatrix, trans: Trans | str) -> tuple[SparseMatrix, bool, bool]:
-    """op(A), whether it is lower, whether its diagonal is one."""
+def _checked(a: SparseMatrix, trans: Trans | str) -> tuple[SparseMatrix, bool]:
+    """op(A), and whether it is lower."""
     trans = Trans.of(trans, 2)
     if a.meta.kind == "null":
         raise InputParameterError("a null matrix can't be solved", 1)
     if a.meta.kind == "identity":
-        return a, True, True
+        return a, True
     shape, diag = a.structure()
     if shape is Shape.RECTANGULAR:
         raise InputParameterError("the matrix is not triangular", 1)
     if diag is Diag.ZERO:
         raise InputParameterError("a zero on the diagonal", 1)
-    lower = (shape is Shape.LOWER) == (trans is Trans.N)
-    return a.op(trans), lower, diag is Diag.UNIT
-
+    return a.op(trans), (shape is Shape.LOWER) == (trans is Trans.N)
 
-def levels(a: SparseMatrix, trans: Trans | str = "N", limit: int | None = None) -> DataFrame:
-    """(i, level): 0 for rows that depend on none, else one more than the largest level they depend on.
 
-    Rows are peeled level by level, each a join and an aggregate; stops with an
-    ExecutionFailure beyond `limit` levels.
-    """
-    op, _, _ = _checked(a, trans)
-    edges = op.entries.where("i <> j").select("i", "j")
-    left = _cut(edges.groupBy("i").agg(F.count("*").alias("open")))
-    known = a.spark.range(op.m).withColumnRenamed("id", "i").join(left.select("i"), "i", "left_anti").withColumn("level", F.lit(0))
-    ready, done, k = _cut(known), None, 0
+def _peeled(op: SparseMatrix, limit: int | None) -> DataFrame:
+    tmp = Scratch(op.spark)
+    edges = tmp.cut(op.entries.where("i <> j").select("i", "j"), "edges")
+    left = tmp.cut(edges.groupBy("i").agg(F.count("*").alias("open")), "open-0")
+    known = op.spark.range(op.m).withColumnRenamed("id", "i").join(left.select("i"), "i", "left_anti").withColumn("level", F.lit(0))
+    done = ready = tmp.cut(known, "level-0")
+    k = 0
     while True:
-        done = ready if done is None else done.unionByName(ready)
         solved = edges.join(ready.select(F.col("i").alias("j")), "j").groupBy("i").agg(F.count("*").alias("got"))
-        left = _cut(left.join(solved, "i", "left").select("i", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open")))
         k += 1
-        ready = left.where("open = 0").select("i", F.lit(k).alias("level"))
-        left = left.where("open > 0")
+        after = tmp.cut(left.join(solved, "i", "left").select("i", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open")), f"open-{k}")
+        tmp.drop(f"open-{k - 1}")
+        ready, left = tmp.cut(after.where("open = 0").select("i", F.lit(k).alias("level")), f"level-{k}"), after.where("open > 0")
         if not ready.limit(1).count():
+            tmp.drop("edges")
             return done
+        done = done.unionByName(ready)
         if limit is not None and k >= limit:
+            tmp.drop("edges")
             raise ExecutionFailure(f"more than {limit} levels", 1)
 
 
-def _by_fold(op: SparseMatrix, lower: bool, rhs: DataFrame) -> DataFrame:
-    """Each right-hand side folded by itself: rows in solving order, values appended to an array.
+def levels(a: SparseMatrix, trans: Trans | str = "N", limit: int | None = None) -> DataFrame:
+    """(i, level): 0 for rows that depend on none, else one more than the largest level they depend on.
 
-    The matrix (at most FOLD_ROWS rows) meets every right-hand side as one ordered array.
+    Rows are peeled level by level, each a join and an aggregate; stops with an
+    ExecutionFailure beyond `limit` levels.
     """
-    dt = op.dtype
-    at = F.col("i") if lower else F.lit(op.m - 1) - F.col("i")
-    col = F.col("j") if lower else F.lit(op.m - 1) - F.col("j")
-    e = op.entries.select(at.alias("p"), col.alias("q"), dt.work(F.col("v")).alias("v"))
-    off, own = F.col("q") != F.col("p"), F.col("q") == F.col("p")
-    rows = e.groupBy("p").agg(F.array_sort(F.collect_list(F.when(off, F.struct("q", "v")))).alias("e"), F.max(F.when(own, F.col("v"))).alias("d"))
-    y = rhs.select("rhs", (F.col("i") if lower else F.lit(op.m - 1) - F.col("i")).alias("p"), dt.work(F.col("v")).alias("y"))
-    ordered = rows.join(y, "p").groupBy("rhs").agg(F.array_sort(F.collect_list(F.struct("p", "y", "e", "d"))).alias("r"))
-    empty = F.array().cast(f"array<{'struct<re:double,im:double>' if dt.is_complex else 'double'}>")
-
-    def solve(xs, r):
-        known = F.aggregate(r["e"], dt.zero, lambda s, q: dt.add(s, dt.mul(q["v"], F.get(xs, q["q"].cast("int")))))
-        return F.concat(xs, F.array(dt.div(dt.sub(r["y"], known), r["d"])))
-
-    x = ordered.select("rhs", F.posexplode(F.aggregate("r", empty, solve)).alias("p", "v"))
-    i = F.col("p").cast("long") if lower else F.lit(op.m - 1) - F.col("p")
-    return x.select("rhs", i.cast("long").alias("i"), "v")
-
-
-def _by_levels(a: SparseMatrix, op: SparseMatrix, trans, rhs: DataFrame) -> DataFrame:
-    dt = op.dtype
-    lvl = _cut(levels(a, trans, MAX_LEVELS))
-    top = lvl.agg(F.max("level")).first()[0] or 0
-    diag = op.entries.where("i = j").select("i", dt.work(F.col("v")).alias("d"))
-    off = op.entries.where("i <> j").select("i", "j", dt.work(F.col("v")).alias("a")).join(lvl, "i")
-    todo = _cut(rhs.select("rhs", "i", dt.work(F.col("v")).alias("y")).join(diag, "i").join(lvl, "i"))
-    x = None
-    for k in range(top + 1):
-        here = todo.where(F.col("level") == k)
-        if x is None:
-            s = here.select("rhs", "i", dt.div(F.col("y"), F.col("d")).alias("v"))
-        else:
-            known = off.where(F.col("level") == k).join(x.select("rhs", F.col("i").alias("j"), F.col("v").alias("x")), "j")
-            sums = known.groupBy("rhs", "i").agg(dt.sum(dt.mul(F.col("a"), F.col("x"))).alias("s"))
-            rest = dt.sub(F.col("y"), dt.coalesce(F.col("s"), dt.zero))
-            s = here.join(sums, ["rhs", "i"], "left").select("rhs", "i", dt.div(rest, F.col("d")).alias("v"))
-        x = s if x is None else x.unionByName(s)
-        if k % 4 == 3 or k == top:
-            x = _cut(x)
-    return x
+    return _peeled(_checked(a, trans)[0], limit)
 
 
-def _forward(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One range of rows for one right-hand side, by substitution. Columns: rhs, kind (0 entry, 1 right-hand side), p, q, re, im."""
-    e, y = pdf[pdf.kind == 0].sort_values(["p", "q"]), pdf[pdf.kind == 1].sort_values("p")
-    base, n = int(y.p.min()), len(y)
-    v = e.re.to_numpy() + 1j * e.im.to_numpy()
-    p, q = e.p.to_numpy() - base, e.q.to_numpy() - base
-    x = (y.re.to_numpy() + 1j * y.im.to_numpy()).astype(complex)
-    start = np.searchsorted(p, np.arange(n + 1))
-    for r in range(n):
-        a, b = start[r], start[r + 1]
-        below = q[a:b] < r
-        x[r] = (x[r] - (v[a:b][below] * x[q[a:b][below]]).sum()) / v[a:b][q[a:b] == r][0]
-    return pd.DataFrame({"rhs": y.rhs.to_numpy(), "p": y.p.to_numpy(), "re": x.real, "im": x.imag})
-
-
-def _local(entries: DataFrame, rhs: DataFrame, dt) -> DataFrame:
-    """entries (g, p, q, v), rhs (rhs, g, p, y): every group's own triangular system for every right-hand side -> (rhs, p, v). A group is a bounded range."""
-    parts = lambda v: (v["re"], v["im"]) if dt.is_complex else (v, F.lit(0.0))
-    sides = rhs.select("rhs", "g").distinct()
-    e = entries.join(sides, "g").select("rhs", "g", F.lit(0).alias("kind"), "p", "q", parts(F.col("v"))[0].alias("re"), parts(F.col("v"))[1].alias("im"))
-    y = rhs.select("rhs", "g", F.lit(1).alias("kind"), "p", F.lit(-1).cast("long").alias("q"), parts(F.col("y"))[0].alias("re"), parts(F.col("y"))[1].alias("im"))
-    out = e.unionByName(y).groupBy("rhs", "g").applyInPandas(lambda pdf: _forward(pdf), "rhs long, p long, re double, im double")
-    v = F.struct("re", "im") if dt.is_complex else F.col("re")
-    return out.select("rhs", "p", v.alias("v"))
-
-
-def _by_blocks(op: SparseMatrix, lower: bool, rhs: DataFrame, block_rows: int) -> DataFrame:
-    dt = op.dtype
-    flip = lambda c: F.col(c) if lower else F.lit(op.m - 1) - F.col(c)
-    e = op.entries.select(flip("i").alias("p"), flip("j").alias("q"), dt.work(F.col("v")).alias("v")).withColumn("g", F.floor(F.col("p") / block_rows)).withColumn("h", F.floor(F.col("q") / block_rows))
-    e = _cut(e)
-    y = rhs.select("rhs", flip("i").alias("p"), dt.work(F.col("v")).alias("y")).withColumn("g", F.floor(F.col("p") / block_rows))
-    x = None
-    for k in range(max(1, math.ceil(op.m / block_rows))):
-        here = y.where(F.col("g") == k)
-        if x is not None:
-            before = e.where((F.col("g") == k) & (F.col("h") < k)).join(x.select("rhs", F.col("p").alias("q"), F.col("v").alias("x")), "q")
-            sums = before.groupBy("rhs", "p").agg(dt.sum(dt.mul(F.col("v"), F.col("x"))).alias("s"))
-            here = here.join(sums, ["rhs", "p"], "left").select("rhs", "g", "p", dt.sub(F.col("y"), dt.coalesce(F.col("s"), dt.zero)).alias("y"))
-        got = _local(e.where((F.col("g") == k) & (F.col("h") == k)).select("g", "p", "q", "v"), here.select("rhs", "g", "p", "y"), dt)
-        x = _cut(got if x is None else x.unionByName(got))
-    return x.select("rhs", (F.col("p") if lower else F.lit(op.m - 1) - F.col("p")).cast("long").alias("i"), "v")
-
-
-def spsm(a: SparseMatrix, y: DataFrame, alpha=1.0, trans: Trans | str = "N", method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """op(A) X = alpha Y: y (rhs, i, v) with every i of every rhs -> (rhs, i, v). alpha = 0 gives zeros and reads nothing else."""
-    op, lower, _ = _checked(a, trans)
-    dt = a.dtype
-    if alpha == 0:
-        return y.select("rhs", "i", dt.store(dt.zero).alias("v"))
-    rhs = y.select("rhs", "i", dt.mul(dt.lit(alpha), dt.work(F.col("v"))).alias("v"))
+class PreparedSolve(NamedTuple):
+    """What a solve needs of its matrix, made once. Its tables stay in the shared folder until destroy()."""
+
+    matrix: SparseMatrix
+    trans: Trans
+    op: SparseMatrix
+    lower: bool
+    method: str  # identity, fold, levels or blocks
+    tmp: Scratch
+    entries: object = None  # fold: arrays sent to the tasks; else a table by level
+    rows: DataFrame | None = None  # levels: (i, d, level)
+    needs: tuple[tuple[int, ...], ...] = ()  # of each level: the levels whose solutions it reads
+    block_rows: int = 0
+    of_block: object = None  # blocks: (g, level), or None where a block is its own level
+
+    def destroy(self) -> None:
+        self.tmp.drop("")
+        if self.method == "fold":
+            self.entries.unpersist()
+
+
+def _order(op: SparseMatrix, lower: bool):
+    """A column of rows or columns in solving order."""
+    return lambda c: F.col(c) if lower else F.lit(op.m - 1) - F.col(c)
+
+
+def _parts(v: Column, dt: DType) -> tuple[Column, Column]:
+    return (v["re"], v["im"]) if dt.is_complex else (v, F.lit(0.0))
+
+
+def _small(op: SparseMatrix, forced: bool) -> bool:
+    """Whether the whole matrix may be sent to the tasks."""
+    n = op.entries.count() if op.m <= FOLD_ROWS else None
+    fits = n is not None and n <= FOLD_ENTRIES
+    if forced and not fits:
+        raise ExecutionFailure(f"fold takes {FOLD_ROWS} rows and {FOLD_ENTRIES} entries at most", 1)
+    return fits
+
+
+def prepare(a: SparseMatrix, trans: Trans | str | None = None, method: str = "auto", block_rows: int = BLOCK_ROWS) -> PreparedSolve:
+    """Checks the matrix and prepares solves with op(A); trans: the hint spsv_operation unless given."""
     if method not in ("auto", "fold", "levels", "blocks"):
         raise InputParameterError(f"method: auto, fold, levels or blocks, not {method!r}", 5)
+    trans = Trans.of(a.meta.hints.get("spsv_operation", Trans.N) if trans is None else trans, 2)
+    hint = a.meta.hints.get("spsv_strategy", "unset")
+    method = hint if method == "auto" and hint != "unset" else method
+    op, lower = _checked(a, trans)
+    tmp, dt, at = Scratch(a.spark), a.dtype, _order(op, lower)
     if a.meta.kind == "identity":
-        x = rhs
-    elif method == "fold" or (method == "auto" and a.m <= FOLD_ROWS):
-        x = _by_fold(op, lower, rhs)
-    elif method == "blocks":
-        x = _by_blocks(op, lower, rhs, block_rows)
-    else:
+        return PreparedSolve(a, trans, op, lower, "identity", tmp)
+    if method == "fold" or (method == "auto" and op.m <= FOLD_ROWS and _small(op, False)):
+        if method == "fold":
+            _small(op, True)
+        re, im = _parts(dt.work(F.col("v")), dt)
+        got = op.entries.select(at("i").cast("long").alias("p"), at("j").cast("long").alias("q"), re.alias("re"), im.alias("im")).toPandas()
+        sent = a.spark.sparkContext.broadcast(_csr(got, op.m, dt.is_complex))
+        return PreparedSolve(a, trans, op, lower, "fold", tmp, sent)
+    if method != "blocks":
         try:
-            x = _by_levels(a, op, trans, rhs)
+            lvl = tmp.cut(_peeled(op, MAX_LEVELS), "rows-of-levels")
         except ExecutionFailure:
             if method == "levels":
                 raise
-            x = _by_blocks(op, lower, rhs, block_rows)
+        else:
+            v = dt.work(F.col("v"))
+            rows = tmp.cut(op.entries.where("i = j").select("i", v.alias("d")).join(lvl, "i"), "rows")
+            off = tmp.cut(op.entries.where("i <> j").select("i", "j", v.alias("a")).join(lvl, "i"), "off", by="level")
+            top = rows.agg(F.max("level")).first()[0] or 0
+            return PreparedSolve(a, trans, op, lower, "levels", tmp, off, rows, tuple(tuple(range(k)) for k in range(top + 1)))
+    e = op.entries.select(at("i").cast("long").alias("p"), at("j").cast("long").alias("q"), dt.work(F.col("v")).alias("v"))
+    e = e.withColumn("g", F.expr(f"p div {block_rows}")).withColumn("h", F.expr(f"q div {block_rows}"))
+    blocks = max(1, -(-op.m // block_rows))
+    pairs = tmp.cut(e.where("h < g").select("g", "h").distinct(), "pairs")
+    if pairs.count() <= MAX_PAIRS:
+        depends = defaultdict(list)
+        for g, h in pairs.collect():
+            depends[g].append(h)
+        level = [0] * blocks
+        for g in range(blocks):
+            level[g] = 1 + max((level[h] for h in depends[g]), default=-1)
+        needs = [set() for _ in range(max(level) + 1)]
+        for g, hs in depends.items():
+            needs[level[g]].update(level[h] for h in hs)
+        of_block = a.spark.createDataFrame(list(enumerate(level)), "g long, level int")
+        e = e.join(F.broadcast(of_block), "g")
+    else:
+        needs, of_block = [range(g) for g in range(blocks)], None
+        e = e.withColumn("level", F.col("g").cast("int"))
+    return PreparedSolve(a, trans, op, lower, "blocks", tmp, tmp.cut(e, "entries", by="level"), None, tuple(tuple(sorted(x)) for x in needs), block_rows, of_block)
+
+
+# --- in one task -----------------------------------------------------------------------------
+
+
+def _csr(e: pd.DataFrame, n: int, is_complex: bool, base: int = 0) -> tuple[np.ndarray, ...]:
+    """Row pointers, columns and values below the diagonal, and the diagonal, of entries (p, q, re, im) of rows base to base + n - 1."""
+    p, q = e.p.to_numpy() - base, e.q.to_numpy() - base
+    v = e.re.to_numpy() + 1j * e.im.to_numpy() if is_complex else e.re.to_numpy(dtype=float)
+    d = np.ones(n, v.dtype)
+    d[p[p == q]] = v[p == q]
+    below = np.flatnonzero(q < p)
+    below = below[np.lexsort((q[below], p[below]))]
+    return np.searchsorted(p[below], np.arange(n + 1)), q[below], v[below], d
+
+
+def _substitute(ptr: np.ndarray, q: np.ndarray, v: np.ndarray, d: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Forward substitution for the columns of y."""
+    x = y.astype(np.result_type(v, y))
+    for r in range(len(d)):
+        a, b = ptr[r], ptr[r + 1]
+        if a < b:
+            x[r] -= v[a:b] @ x[q[a:b]]
+        x[r] /= d[r]
+    return x
+
+
+def _by_fold(s: PreparedSolve, rhs: DataFrame) -> DataFrame:
+    dt, sent, m, at = s.op.dtype, s.entries, s.op.m, _order(s.op, s.lower)
+    re, im = _parts(F.col("v"), dt)
+    y = rhs.select("rhs", at("i").cast("long").alias("p"), re.alias("re"), im.alias("im"), F.floor(F.col("rhs") / PANEL).alias("panel"))
+    is_complex = dt.is_complex
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides, k = np.unique(pdf.rhs.to_numpy(), return_inverse=True)
+        ys = np.zeros((m, len(sides)), complex if is_complex else float)
+        ys[pdf.p.to_numpy(), k] = pdf.re.to_numpy() + 1j * pdf.im.to_numpy() if is_complex else pdf.re.to_numpy()
+        x = _substitute(*sent.value, ys)
+        return pd.DataFrame({"rhs": np.tile(sides, m), "p": np.repeat(np.arange(m), len(sides)), "re": x.real.ravel(), "im": x.imag.ravel()})
+
+    out = y.groupBy("panel").applyInPandas(solve, "rhs long, p long, re double, im double")
+    return out.select("rhs", at("p").cast("long").alias("i"), (F.struct("re", "im") if is_complex else F.col("re")).alias("v"))
+
+
+# --- panels of right-hand sides ----------------------------------------------------------------
+
+
+class _Sides:
+    """Right-hand sides as columns c0, c1, ... of panels. one: there is a single side, number 0."""
+
+    def __init__(self, rhs: DataFrame, dt: DType, one: bool, tmp: Scratch):
+        self.dt, self.one, self.n = dt, one, 1
+        if not one:
+            # a row for each side
+            numbered = rhs.select("rhs").distinct().select("rhs", (F.row_number().over(Window.orderBy("rhs")) - 1).cast("long").alias("k"))
+            self.numbers = tmp.cut(numbered, "sides")
+            self.n = max(1, self.numbers.count())
+        self.width = min(PANEL // 2 if dt.is_complex else PANEL, self.n)
+        self.names = [f"c{k}" for k in range(self.width)]
+
+    def each(self, f) -> list[Column]:
+        return [f(c).alias(c) for c in self.names]
+
+    def wide(self, rhs: DataFrame, *keys: str) -> DataFrame:
+        """(rhs, keys, y) -> (panel, keys, c...)."""
+        if self.one:
+            return rhs.select(F.lit(0).cast("long").alias("panel"), *keys, F.col("y").alias("c0"))
+        at = rhs.join(F.broadcast(self.numbers), "rhs").withColumn("panel", F.expr(f"k div {self.width}")).withColumn("slot", F.expr(f"k % {self.width}"))
+        return at.groupBy("panel", *keys).agg(*[F.max(F.when(F.col("slot") == k, F.col("y"))).alias(c) for k, c in enumerate(self.names)])
+
+    def long(self, x: DataFrame, key: str) -> DataFrame:
+        """(panel, key, c...) -> (rhs, key, v)."""
+        if self.one:
+            return x.select(F.lit(0).cast("long").alias("rhs"), key, F.col("c0").alias("v"))
+        flat = x.select("panel", key, F.posexplode(F.array(*self.names)).alias("slot", "v")).withColumn("k", F.col("panel") * self.width + F.col("slot"))
+        return flat.join(F.broadcast(self.numbers), "k").select("rhs", key, "v")
+
+    def less(self, here: DataFrame, entries: DataFrame, x: DataFrame | None, keys: tuple[str, ...], row: str, column: str) -> DataFrame:
+        """here (panel, keys, c...) less the product of entries (row, column, a) with x (panel, column, c...)."""
+        if x is None:
+            return here
+        dt = self.dt
+        sums = entries.join(x, column).groupBy("panel", row).agg(*self.each(lambda c: dt.sum(dt.mul(F.col("a"), F.col(c)))))
+        sums = sums.select("panel", row, *[F.col(c).alias(f"s{c}") for c in self.names])
+        got = here.join(sums, ["panel", row], "left")
+        return got.select("panel", *keys, *self.each(lambda c: dt.sub(F.col(c), dt.coalesce(F.col(f"s{c}"), dt.zero))))
+
+    def local(self, entries: DataFrame, here: DataFrame) -> DataFrame:
+        """entries (g, p, q, a), here (panel, g, p, c...): every group's own triangular system for every panel -> (panel, p, c...). A group is a bounded range of p."""
+        dt, names = self.dt, self.names
+        re, im = _parts(F.col("a"), dt)
+        groups = here.select(F.col("panel").alias("e_panel"), F.col("g").alias("e_g")).distinct()
+        e = entries.join(groups, F.col("g") == F.col("e_g")).select("e_panel", "e_g", "p", "q", re.alias("re"), im.alias("im"))
+        flat = [(c, k, f"{c}{part}") for c in names for k, part in enumerate(("r", "i") if dt.is_complex else ("r",))]
+        y = here.select("panel", "g", "p", *[F.coalesce(_parts(F.col(c), dt)[k], F.lit(0.0)).alias(name) for c, k, name in flat])
+        is_complex, columns = dt.is_complex, [name for *_, name in flat]
+
+        def solve(e: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            y = y.sort_values("p")
+            base, values = int(y.p.iloc[0]), y[columns].to_numpy(dtype=float)
+            x = _substitute(*_csr(e, len(y), is_complex, base), values[:, ::2] + 1j * values[:, 1::2] if is_complex else values)
+            out = np.empty_like(values)
+            if is_complex:
+                out[:, ::2], out[:, 1::2] = x.real, x.imag
+            else:
+                out = x
+            return pd.DataFrame({"panel": y.panel.to_numpy(), "p": y.p.to_numpy()} | {c: out[:, k] for k, c in enumerate(columns)})
+
+        got = y.groupBy("panel", "g").cogroup(e.groupBy("e_panel", "e_g")).applyInPandas(lambda y, e: solve(e, y), "panel long, p long, " + ", ".join(f"{c} double" for c in columns))
+        return got.select("panel", "p", *self.each(lambda c: F.struct(F.col(f"{c}r").alias("re"), F.col(f"{c}i").alias("im")) if is_complex else F.col(f"{c}r")))
+
+
+def _by_rounds(s: PreparedSolve, tmp: Scratch, todo: DataFrame, solved) -> DataFrame:
+    """solved(level, rows of todo, solutions that the level may read) for one level after the other -> all solutions."""
+    todo, done = tmp.cut(todo, "todo", by="level"), {}
+    for k, needs in enumerate(s.needs):
+        before = [done[h] for h in needs]
+        x = None
+        if before:
+            x = s.op.spark.read.schema(done[needs[0]].schema).parquet(*[f"{tmp.root}/x-{h}" for h in needs])
+        done[k] = tmp.cut(solved(k, todo.where(F.col("level") == k), x), f"x-{k}")
+    tmp.drop("todo")
+    return s.op.spark.read.schema(done[0].schema).parquet(*[f"{tmp.root}/x-{k}" for k in done])
+
+
+def _by_levels(s: PreparedSolve, rhs: DataFrame, one: bool) -> DataFrame:
+    dt, tmp = s.op.dtype, Scratch(s.op.spark)
+    sides = _Sides(rhs, dt, one, tmp)
+    todo = sides.wide(rhs.withColumnRenamed("v", "y"), "i").join(s.rows, "i")
+
+    def solved(k, here, x):
+        x = None if x is None else x.withColumnRenamed("i", "j")
+        rest = sides.less(here, s.entries.where(F.col("level") == k), x, ("i", "d"), "i", "j")
+        return rest.select("panel", "i", *sides.each(lambda c: dt.div(F.col(c), F.col("d"))))
+
+    return sides.long(_by_rounds(s, tmp, todo, solved), "i")
+
+
+def _by_blocks(s: PreparedSolve, rhs: DataFrame, one: bool) -> DataFrame:
+    dt, tmp, at = s.op.dtype, Scratch(s.op.spark), _order(s.op, s.lower)
+    sides = _Sides(rhs, dt, one, tmp)
+    todo = sides.wide(rhs.select("rhs", at("i").cast("long").alias("p"), F.col("v").alias("y")), "p").withColumn("g", F.expr(f"p div {s.block_rows}"))
+    todo = todo.withColumn("level", F.col("g").cast("int")) if s.of_block is None else todo.join(F.broadcast(s.of_block), "g")
+
+    def solved(k, here, x):
+        e = s.entries.where(F.col("level") == k).withColumnRenamed("v", "a")
+        x = None if x is None else x.withColumnRenamed("p", "q")
+        rest = sides.less(here, e.where("h < g").select("p", "q", "a"), x, ("g", "p"), "p", "q")
+        return sides.local(e.where("h = g").select("g", "p", "q", "a"), rest)
+
+    x = sides.long(_by_rounds(s, tmp, todo, solved), "p")
+    return x.select("rhs", at("p").cast("long").alias("i"), "v")
+
+
+# --- solves -----------------------------------------------------------------------------------
+
+
+def _solve(a: SparseMatrix | PreparedSolve, y: DataFrame, alpha, trans, method: str, block_rows: int, one: bool) -> DataFrame:
+    if isinstance(a, PreparedSolve):
+        s = a
+        if trans is not None and Trans.of(trans, 2) is not s.trans:
+            raise InputParameterError(f"prepared for {s.trans.name}, not {Trans.of(trans, 2).name}", 2)
+    elif alpha == 0:
+        _checked(a, trans or "N")
+    else:
+        s = prepare(a, trans or "N", method, block_rows)
+    dt = (a.matrix if isinstance(a, PreparedSolve) else a).dtype
+    if alpha == 0:
+        return y.select("rhs", "i", dt.store(dt.zero).alias("v"))
+    rhs = y.select(F.col("rhs").cast("long").alias("rhs"), "i", dt.mul(dt.lit(alpha), dt.work(F.col("v"))).alias("v"))
+    x = rhs if s.method == "identity" else _by_fold(s, rhs) if s.method == "fold" else (_by_levels if s.method == "levels" else _by_blocks)(s, rhs, one)
     return x.select("rhs", "i", dt.store(F.col("v")).alias("v"))
 
 
-def spsv(a: SparseMatrix, y: DataFrame, alpha=1.0, trans: Trans | str = "N", method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def spsm(a: SparseMatrix | PreparedSolve, y: DataFrame, alpha=1.0, trans: Trans | str | None = None, method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """op(A) X = alpha Y: y (rhs, i, v) with every i of every rhs -> (rhs, i, v). alpha = 0: the matrix is checked, and zeros come back."""
+    return _solve(a, y, alpha, trans, method, block_rows, False)
+
+
+def spsv(a: SparseMatrix | PreparedSolve, y: DataFrame, alpha=1.0, trans: Trans | str | None = None, method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """op(A) x = alpha y: y (i, v) -> (i, v)."""
-    return spsm(a, y.withColumn("rhs", F.lit(0).cast("long")), alpha, trans, method, block_rows).select("i", "v")
+    return _solve(a, y.withColumn("rhs", F.lit(0).cast("long")), alpha, trans, method, block_rows, True).select("i", "v")
 
 
 def spsm_parts(a: SparseMatrix, parts: DataFrame, y: DataFrame, separator: int, alpha=1.0, trans: Trans | str = "N") -> DataFrame:
     """spsm of a matrix cut into parts that don't depend on each other, and a separator part: (i, part) for every row.
 
     Lower op(A): all parts at once, then a product into the separator, then the separator;
-    upper: the separator first. A part must fit a task; parts of one right-hand side and
-    right-hand sides run side by side.
+    upper: the separator first. A part must fit a task; parts and panels of right-hand sides
+    run side by side.
     """
-    op, lower, _ = _checked(a, trans)
-    dt = a.dtype
+    op, lower = _checked(a, trans)
+    dt, tmp = a.dtype, Scratch(a.spark)
     if alpha == 0:
         return y.select("rhs", "i", dt.store(dt.zero).alias("v"))
-    flip = lambda c: c if lower else F.lit(op.m - 1) - c
-    order = parts.select("i", F.col("part").alias("g"))
-    e = op.entries.join(order, "i").join(order.select(F.col("i").alias("j"), F.col("g").alias("h")), "j")
+    at = _order(op, lower)
+    order = parts.select("i", F.col("part").cast("long").alias("g"))
+    # positions within a part are consecutive, in solving order
+    place = tmp.cut(order.select("i", "g", (F.col("g") * F.lit(op.m) + F.row_number().over(Window.partitionBy("g").orderBy(at("i"))) - 1).cast("long").alias("p")), "places")
+    of = lambda name, p, g: place.select(F.col("i").alias(name), F.col("p").alias(p), F.col("g").alias(g))
+    e = tmp.cut(op.entries.select("i", "j", dt.work(F.col("v")).alias("a")).join(of("i", "p", "g"), "i").join(of("j", "q", "h"), "j").drop("i", "j"), "entries")
     if e.where((F.col("g") != F.col("h")) & (F.col("g") != separator) & (F.col("h") != separator)).limit(1).count():
         raise InputParameterError("parts depend on each other", 2)
-    # positions within a part are consecutive, in solving order
-    from pyspark.sql import Window
-
-    place = order.select("i", "g", (F.row_number().over(Window.partitionBy("g").orderBy(flip(F.col("i")))) - 1).cast("long").alias("p"))
-    e = _cut(e.select("i", "j", "g", "h", dt.work(F.col("v")).alias("v")).join(place.select("i", "p"), "i").join(place.select(F.col("i").alias("j"), F.col("p").alias("q")), "j"))
-    rhs = y.select("rhs", "i", dt.mul(dt.lit(alpha), dt.work(F.col("v"))).alias("y")).join(place, "i")
-
-    def inner(here: DataFrame) -> DataFrame:
-        # groups are kept apart by their own range of positions
-        wide = F.lit(op.m).cast("long")
-        own = e.where("g = h").select("g", (F.col("g") * wide + F.col("p")).alias("p"), (F.col("g") * wide + F.col("q")).alias("q"), "v")
-        got = _local(own, here.select("rhs", "g", (F.col("g") * wide + F.col("p")).alias("p"), "y"), dt)
-        at = place.select((F.col("g") * wide + F.col("p")).alias("p"), "i")
-        return _cut(got.join(at, "p").select("rhs", "i", "v"))
-
-    def less(here: DataFrame, x: DataFrame) -> DataFrame:
-        known = e.where("g <> h").select("i", "j", "v").join(x.select("rhs", F.col("i").alias("j"), F.col("v").alias("x")), "j")
-        sums = known.groupBy("rhs", "i").agg(dt.sum(dt.mul(F.col("v"), F.col("x"))).alias("s"))
-        return here.join(sums, ["rhs", "i"], "left").withColumn("y", dt.sub(F.col("y"), dt.coalesce(F.col("s"), dt.zero)))
-
-    is_sep = F.col("g") == separator
-    first, second = (~is_sep, is_sep) if lower else (is_sep, ~is_sep)
-    x = inner(rhs.where(first))
-    x = x.unionByName(inner(less(rhs.where(second), x)))
-    return x.select("rhs", "i", dt.store(F.col("v")).alias("v"))
+    rhs = y.select(F.col("rhs").cast("long").alias("rhs"), "i", dt.mul(dt.lit(alpha), dt.work(F.col("v"))).alias("y")).join(place, "i").drop("i")
+    sides = _Sides(rhs, dt, False, tmp)
+    todo = tmp.cut(sides.wide(rhs, "g", "p"), "todo")
+    own, across = e.where("g = h").select("g", "p", "q", "a"), e.where("g <> h").select("p", "q", "a")
+    first = (F.col("g") != separator) if lower else (F.col("g") == separator)
+    x = tmp.cut(sides.local(own, todo.where(first)), "x-0")
+    rest = sides.less(todo.where(~first), across, x.withColumnRenamed("p", "q"), ("g", "p"), "p", "q")
+    x = x.unionByName(tmp.cut(sides.local(own, rest), "x-1"))
+    return sides.long(x.join(place.select("p", "i"), "p").drop("p"), "i").select("rhs", "i", dt.store(F.col("v")).alias("v"))
 
 
 def residual(a: SparseMatrix, x: DataFrame, y: DataFrame, alpha=1.0, trans: Trans | str = "N") -> DataFrame:
@@ -262,4 +407,4 @@ def identity_rhs(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("rhs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")).select("rhs", "i", F.when(F.col("rhs") == F.col("i"), 1.0).otherwise(0.0).alias("v"))
 
 
-__all__ = ["spsv", "spsm", "spsm_parts", "levels", "residual", "identity_rhs"]
+__all__ = ["PreparedSolve", "prepare", "spsv", "spsm", "spsm_parts", "levels", "residual", "identity_rhs"]

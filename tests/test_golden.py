@@ -111,6 +111,9 @@ def test_sddmm(spark):
     rows = lambda x, k: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"{k} long, values array<double>")
     assert E.dense_array(P.sddmm_rows(rows(a, "i"), rows(b.T, "j"), mc)) == (a @ b * mask).ravel().tolist()
     assert P.sddmm(ma, mb, null(spark, 4, 4)).meta.kind == "null"
+    for t in ("N", "T"):
+        dense, joined = (E.dense_array(P.sddmm(ma, mb, mc.hint("sddmm_strategy", k), 2, -1, t, t)) for k in ("arrays", "join"))
+        assert dense == joined
 
 
 def test_complex_spmv(spark):
@@ -134,6 +137,33 @@ def test_bsr(spark):
     assert values(P.spmv(b.transpose().scale(0.5), vector.dense(spark, [1] * 4)), 4) == [7, 11, 9.5, 11.5]
     assert E.bsr_arrays(a, 2) == ([0, 2, 4], [0, 1, 0, 1], list(range(1, 17)))
     assert E.bsr_arrays(b, 2, "col", 1) == ([1, 2, 4], [1, 1, 2], list(range(1, 13)))
+    assert E.bsr_arrays(a) == E.bsr_arrays(a, 2) and E.bsr_arrays(a.convert("csr"))[0] == [0, 4, 8, 12, 16]
+    ptr, cells = E.tables(b.transpose())
+    assert ptr.count() == 3 and {len(r["values"]) for r in cells.collect()} == {4}
+
+
+def test_conversions(spark):
+    a = B.from_csr(spark, 4, 4, [0, 2, 3, 5, 6], [0, 2, 1, 0, 2, 3], range(1, 7))
+    said = lambda df, *by: [tuple(r) for r in df.orderBy(*by).collect()]
+    ptr, entries = E.tables(a.convert("csc"))
+    assert [r[1] for r in said(ptr, "j")] == [0, 2, 3, 5, 6] and [r[1:] for r in said(entries.select("pos", "i", "v"), "pos")] == [(0, 1), (2, 4), (1, 3), (0, 2), (2, 5), (3, 6)]
+    assert [r[1] for r in said(E.tables(a.convert("dense"))[0], "pos")] == E.dense_array(a) and len(E.tables(a.convert("coo"))) == 1
+    with pytest.raises(InputParameterError):
+        a.convert("bsr", 3)
+    back = B.from_csc_tables(ptr, entries, 4, 4)
+    assert E.dense_array(back) == E.dense_array(a) and back.meta.layout == "csc"
+
+
+def test_dense_rows_in_panels(spark, monkeypatch):
+    monkeypatch.setattr(P, "PANEL", 3)
+    a = B.from_csr(spark, 4, 4, [0, 2, 2, 6, 8], [0, 2, 0, 1, 2, 3, 2, 3], [1, -1, 2, 3, 4, 5, 6, 7])
+    da, b = np.array(E.dense_array(a)).reshape(4, 4), np.arange(28.0).reshape(4, 7)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(b)], "i long, values array<double>")
+    for trans, x in (("N", da), ("T", da.T)):
+        got = {r["i"]: r["values"] for r in P.spmm_rows(a, rows, 7, 2.0, trans).collect()}
+        np.testing.assert_allclose([got[i] for i in range(4)], 2 * x @ b)
+    with pytest.raises(InputParameterError):
+        P.spmm_rows(identity(spark, 4, "z"), rows, 7)
 
 
 def test_vectors(spark):
@@ -162,7 +192,9 @@ def test_complex_dot_and_structure(spark):
     low = B.from_coo(spark, 3, 3, [0, 1, 1, 2], [0, 0, 1, 2], [1, 5, 1, 1])
     assert low.structure() == (Shape.LOWER, Diag.UNIT) and low.transpose().structure() == (Shape.UPPER, Diag.UNIT)
     assert B.from_coo(spark, 2, 2, [0, 1], [1, 0], [1, 1]).structure() == (Shape.RECTANGULAR, Diag.ZERO)
-    assert B.from_coo(spark, 2, 4, [0, 0, 0], [0, 1, 3], [1, 1, 1]).mgmd() == pytest.approx(math.sqrt(2) / 2)
+    assert B.from_coo(spark, 2, 4, [0, 0, 0], [0, 1, 3], [1, 1, 1]).mgmd() == pytest.approx(2 ** (1 / 3) / 2)
+    assert B.from_coo(spark, 3, 4, [0, 1, 1], [2, 0, 3], [1, 1, 1]).mgmd() == pytest.approx((1 + math.sqrt(3)) / 3)
+    assert null(spark, 0, 3).mgmd() == null(spark, 2, 2).mgmd() == 0
 
 
 def test_norm_ranges(spark):
@@ -174,6 +206,18 @@ def test_norm_ranges(spark):
     assert math.isnan(P.norm_frobenius(nan)) and math.isnan(P.norm_inf(nan))
 
 
+def test_updates_meet_the_matrix_once_and_are_all_or_nothing(spark):
+    a = B.from_coo(spark, 3, 3, [0, 1, 2], [0, 1, 2], [1, 2, 3])
+    change = lambda *rows: spark.createDataFrame(list(rows), "pos int, i long, j long, v double")
+    b = a.update(change((0, 1, 1, 5.0), (1, 1, 1, 7.0), (0, 2, 2, None)))
+    assert [r["v"] for r in b.entries.orderBy("i").collect()] == [1, 7, None] and len(b.held) == 1
+    b.destroy()
+    assert b.query()["nnz"] == 3
+    for bad, said in (((0, 3, 0, 1.0), "range"), ((0, 0, 1, 1.0), "not stored"), ((0, -1, 0, 1.0), "range")):
+        with pytest.raises(InputParameterError, match=said):
+            a.update(change((0, 1, 1, 5.0), bad))
+
+
 def test_matrix_market(spark, tmp_path):
     f = tmp_path / "a.mtx"
     f.write_text("%%MatrixMarket matrix coordinate real skew-symmetric\n% note\n3 3 2\n2 1 5\n3 2 1.5\n")

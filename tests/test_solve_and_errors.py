@@ -48,6 +48,7 @@ def test_spsm_and_residual(spark):
     assert {(r["absolute"], r["relative"]) for r in solve.residual(a, x, y).collect()} == {(0.0, 0.0)}
 
 
+# A published 17 x 17 lower triangular matrix in six supernodes, and its right-hand side.
 SUPER = dict(
     nsuper=6,
     nparts=2,
@@ -73,6 +74,36 @@ def test_supernodal(spark):
     assert values(P.spmv(a, vector.dense(spark, [1] * 17)), 17) == RHS
 
 
+@pytest.mark.parametrize(("dt", "method"), [("d", "fold"), ("d", "levels"), ("d", "blocks"), ("z", "levels"), ("z", "blocks"), ("z", "fold")])
+def test_many_sides_in_panels_are_numpy_solves(spark, monkeypatch, dt, method):
+    monkeypatch.setattr(solve, "PANEL", 4)
+    r = np.random.default_rng(4)
+    n, sides = 23, [0, 3, 4, 11, 12, 13, 900]
+    d = np.tril(r.integers(-3, 4, (n, n)) * (r.random((n, n)) < 0.2), -1) + 2.0 * np.eye(n)
+    d = d + 1j * np.tril(r.integers(-2, 3, (n, n)), -1) if dt == "z" else d
+    x = r.integers(-4, 5, (n, len(sides))) + (1j if dt == "z" else 0)
+    a = B.from_dense(spark, n, n, d.ravel().tolist(), dt=dt)
+    put = lambda v: (v.real, v.imag) if dt == "z" else float(v.real)
+    for trans, op in (("N", d), ("T", d.T), ("C", d.conj().T)):
+        y = op @ x
+        rows = [(s, i, put(complex(y[i, k]))) for k, s in enumerate(sides) for i in range(n)]
+        got = solve.spsm(a, spark.createDataFrame(rows, f"rhs long, i long, v {a.dtype.ddl}"), trans=trans, method=method, block_rows=5)
+        out = {(g["rhs"], g["i"]): complex(g["v"]["re"], g["v"]["im"]) if dt == "z" else g["v"] for g in got.collect()}
+        assert len(out) == n * len(sides)
+        np.testing.assert_allclose([[out[s, i] for s in sides] for i in range(n)], x, atol=1e-8)
+
+
+def test_blocks_without_order_go_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(solve, "MAX_PAIRS", 0)
+    a = B.from_csr(spark, 4, 4, *LOW)
+    ready = solve.prepare(a, "N", "blocks", 2)
+    assert ready.of_block is None and ready.needs == ((), (0,))
+    assert values(solve.spsv(ready, vector.dense(spark, [2, 10, 11, 4])), 4) == pytest.approx([1, 3, 2, 4])
+    monkeypatch.undo()
+    free = B.from_coo(spark, 6, 6, [0, 1, 2, 3, 4, 5, 1, 3, 5], [0, 1, 2, 3, 4, 5, 0, 2, 0], [1] * 9)
+    assert solve.prepare(free, "N", "blocks", 2).needs == ((), (0,)) and solve.prepare(free, "T", "blocks", 2).needs == ((), (0,))
+
+
 def test_chain_falls_back_to_blocks(spark):
     n = 200
     rows = [(i, i, 2.0) for i in range(n)] + [(i, i - 1, 1.0) for i in range(1, n)]
@@ -133,13 +164,26 @@ def test_optimize_checks_and_prepares(spark, monkeypatch):
     a, b = B.from_csr(spark, 4, 4, *LOW), B.from_coo(spark, 4, 2, [0, 3], [1, 0], [1, 1])
     assert {tuple(r) for r in optimize.spmm_optimize(a, b).collect()} == {(0, 1), (1, 1), (3, 0)}
     assert optimize.spmv_optimize(a).query()["nnz"] == 6 and optimize.spadd_optimize(a, a) is None and optimize.spelmm_optimize(a, a, "T") is None
-    assert optimize.sddmm_optimize(a, b, b) == "join" and optimize.sddmm_optimize(a, b, B.from_dense(spark, 4, 2, [1] * 8)) == "arrays"
-    assert optimize.spsv_optimize(a).method == "fold"
+    strategy = lambda c: optimize.sddmm_optimize(a, b, c).meta.hints.get("sddmm_strategy")
+    assert strategy(b) == "join" and strategy(B.from_dense(spark, 4, 2, [1] * 8)) == "arrays" and strategy(b.hint("sddmm_strategy", "arrays")) == "arrays"
+    ways = [optimize.spsv_optimize(a)]
     monkeypatch.setattr(solve, "FOLD_ROWS", 2)
-    ready = optimize.spsm_optimize(a)
-    assert ready.method == "levels" and ready.levels.count() == 4
+    ways.append(optimize.spsm_optimize(a))
+    assert ways[1].rows.count() == 4
     monkeypatch.setattr(solve, "MAX_LEVELS", 1)
-    assert optimize.spsv_optimize(a).method == "blocks"
+    ways.append(optimize.spsv_optimize(a))
+    assert [w.method for w in ways] == ["fold", "levels", "blocks"]
+    for ready in ways:
+        for rhs in ([2, 10, 11, 4], [4, 20, 22, 8]):
+            assert values(solve.spsv(ready, vector.dense(spark, rhs), 0.5), 4) == pytest.approx([rhs[0] / 4 * x for x in (1, 3, 2, 4)])
+        assert values(solve.spsv(ready, vector.dense(spark, [1] * 4), 0), 4) == [0] * 4
+        with pytest.raises(InputParameterError):
+            solve.spsv(ready, vector.dense(spark, [1] * 4), trans="T")
+        ready.destroy()
+    hinted = a.hint("spsv_strategy", "blocks").hint("spsv_operation", "T")
+    assert optimize.spsv_optimize(hinted).method == "blocks" and optimize.spsv_optimize(hinted).trans.name == "T"
+    with pytest.raises(ExecutionFailure):
+        solve.prepare(a, method="fold")
     for f in (lambda: optimize.spmm_optimize(b, b), lambda: optimize.spadd_optimize(a, b), lambda: optimize.sddmm_optimize(a, b, a), lambda: optimize.spsv_optimize(null(spark, 2, 2))):
         with pytest.raises(InputParameterError):
             f()
