@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import Scratch, input_bytes, shared_dir
+
+__all__ = ["SPACES", "Scratch", "bounded_batches", "clean_name", "crc_mod4", "input_bytes", "kept_columns", "shared_dir", "sliced", "table", "without"]
+
 #: ASCII white space, as the contracts' word pattern [^\x20\x09-\x0D]+ leaves it out.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -20,47 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparseframe-"))
-            got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = got.get()
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        self.expire()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _at(self, *name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *name)))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def expire(self) -> None:
-        """What is left goes when the application ends: results are lazy and may read it until then."""
-        fs, path = self._at()
-        fs.deleteOnExit(path)
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that no later plan reads."""
-        for name in names:
-            fs, path = self._at(name)
-            fs.delete(path, True)
-
-
-def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `limit` bytes in `column`, of one row at least, so that temporary arrays stay bounded."""
     if not len(batch):
         return
@@ -81,26 +42,26 @@ def crc_mod4(doc_id):
 
 
 def clean_name(name: str, taken) -> str:
-    """A column name that clashes with none of `taken`."""
-    while name in taken:
+    """A column name that clashes with none of `taken`, whatever their case."""
+    taken = {n.lower() for n in taken}
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
 def without(df: DataFrame, names) -> DataFrame:
     """Drops input columns that clash with an operator's output columns, whatever their case."""
-    low = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
-
+    return df.select(*[F.col(f"`{c}`") for c in kept_columns(df, df.columns, names)])
 
-def is_word_char_table(pattern: str = r"[^\x20\x09-\x0D]"):
-    import numpy as np
 
-    return np.array([bool(re.match(pattern, chr(b))) for b in range(256)])
+def kept_columns(df: DataFrame, keep, outputs) -> list[str]:
+    """The columns of `keep` but those that clash with an output's name, whatever their case."""
+    low = {n.lower() for n in outputs}
+    return [c for c in keep if c.lower() not in low]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 16 MB, unless the session says otherwise."""
-    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(16 << 20))):
+    """Arrow batches of at most 1,000 rows and 4 MB (one row at least), unless the session says otherwise."""
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)

@@ -11,10 +11,10 @@ U = np.uint64
 _CHUNK = 1 << 18
 #: Longer words are hashed one at a time.
 _LONG = 1 << 12
-_MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 1 << 64)
-_RND = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=U)
-_POW = _IPOW = np.ones(1, dtype=U)
+#: Two hashes: their multipliers, the bytes' values, and the multipliers' powers and inverse powers as far as they were needed.
+_MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_RND = [np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=seed) for b in range(256)], dtype=U) for seed in (7, 11)]
+_POWERS = [(np.ones(1, dtype=U), np.ones(1, dtype=U)) for _ in _MUL]
 
 #: Bytes of words: everything but ASCII white space.
 WORD = np.ones(256, dtype=bool)
@@ -59,14 +59,22 @@ def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = WORD) -> tupl
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _powers(n: int) -> None:
-    global _POW, _IPOW
-    if len(_POW) < n:
-        m = 1 << int(n - 1).bit_length()
-        for name, f in (("_POW", _MUL), ("_IPOW", _INV)):
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1, at least, of a multiplier and of its inverse."""
+    if len(_POWERS[which][0]) < n:
+        m, out = 1 << int(n - 1).bit_length(), []
+        for f in (_MUL[which], pow(_MUL[which], -1, 1 << 64)):
             p = np.full(m, U(f), dtype=U)
             p[0] = 1
-            globals()[name] = np.cumprod(p, dtype=U)
+            out.append(np.cumprod(p, dtype=U))
+        _POWERS[which] = tuple(out)
+    return _POWERS[which]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The members of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,15 +85,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans' bytes, the same wherever a span stands."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans' bytes, the same wherever a span stands; `which`: one of two independent ones."""
     out = np.empty(len(starts), dtype=U)
+    rnd = _RND[which]
     i, total = 0, len(starts)
     while i < total:
         base = starts[i]
         j = max(int(np.searchsorted(ends, base + _CHUNK, "right")), i + 1)
         if ends[i] - base > _LONG:
-            out[i] = xxhash.xxh3_64_intdigest(data[base : ends[i]].tobytes())
+            out[i] = xxhash.xxh3_64_intdigest(data[base : ends[i]].tobytes(), seed=which)
             i += 1
             continue
         over = np.flatnonzero(ends[i:j] - starts[i:j] > _LONG)
@@ -93,11 +102,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             j = i + int(over[0])
         top = ends[j - 1]
         m = int(top - base)
-        _powers(m + 1)
+        power, inverse = powers(m + 1, which)
         acc = np.zeros(m + 1, dtype=U)
-        np.cumsum(_RND[data[base:top]] * _POW[:m], dtype=U, out=acc[1:])
+        np.cumsum(rnd[data[base:top]] * power[:m], dtype=U, out=acc[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((acc[e] - acc[s]) * _IPOW[s] + (e - s).astype(U))
+        out[i:j] = mix((acc[e] - acc[s]) * inverse[s] + (e - s).astype(U))
         i = j
     return out
 
