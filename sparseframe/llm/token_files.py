@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import Scratch, bounded_batches, sliced
+from .common import Scratch, bounded_batches, input_bytes, sliced
 
 BLOCK = 1024
 #: Selector -> (ids in a word, bits of each).
@@ -148,18 +148,19 @@ def unpack(words: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A segment of whole documents: their ids (and whether they have one), their lengths, and all their token ids."""
+    words, offs = pack(ids.astype(_U))
+    head = _HEAD.pack(_MAGIC, len(lengths), len(offs) - 1, BLOCK, len(ids), len(words))
+    return b"".join((head, known.astype("u1").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), offs.astype("<u4").tobytes(), words.astype("<u8").tobytes()))
+
+
 def dump(doc_ids: Sequence[int | None], docs: Sequence[np.ndarray]) -> bytes:
-    """A segment of whole documents."""
-    lengths = np.array([len(d) for d in docs], dtype="<u8")
-    ids = np.concatenate(docs).astype(_U) if docs else np.zeros(0, _U)
-    words, offs = pack(ids)
-    names = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
-    head = _HEAD.pack(_MAGIC, len(docs), len(offs) - 1, BLOCK, len(ids), len(words))
-    return b"".join((head, known.tobytes(), names.tobytes(), lengths.tobytes(), offs.astype("<u4").tobytes(), words.astype("<u8").tobytes()))
+    names, known = np.array([0 if d is None else d for d in doc_ids]), np.array([d is not None for d in doc_ids])
+    return segment(names, known, np.array([len(d) for d in docs]), np.concatenate([np.asarray(d, _U) for d in docs]) if docs else np.zeros(0, _U))
 
 
-def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def load(data) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A segment's document ids, their lengths and all their token ids."""
     magic, n_docs, n_blocks, block, n_ids, n_words = _HEAD.unpack_from(data)
     if magic != _MAGIC or block != BLOCK:
@@ -174,7 +175,7 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
     known, names, lengths = take("u1", n_docs), take("<i8", n_docs), take("<u8", n_docs)
     offs, words = take("<u4", n_blocks + 1), take("<u8", n_words)
-    return [int(d) if k else None for d, k in zip(names, known, strict=True)], lengths, unpack(words, offs, n_ids)
+    return pa.array(names.astype(np.int64), mask=known == 0), lengths.astype(np.int64), unpack(words, offs, n_ids)
 
 
 _FILE = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32()), ("data", pa.binary())])
@@ -183,43 +184,49 @@ _FILE = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int6
 def _writer(path: str, end_id: int | None, segment_ids: int):
     def run(batches):
         enc, shard = encoder(path, 1 << 40), TaskContext.get().partitionId()
-        names, docs, held, seq, first = [], [], 0, 0, 0
-        tail = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
+        held, seq, first = [], 0, 0
 
-        def segment():
-            nonlocal names, docs, held, seq, first
-            row = pa.RecordBatch.from_pylist([{"shard": shard, "seq": seq, "first": first, "n_ids": held, "n_docs": len(docs), "data": dump(names, docs)}], schema=_FILE)
-            first, seq, names, docs, held = first + held, seq + 1, [], [], 0
+        def made():
+            nonlocal held, seq, first
+            names, known, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = pa.RecordBatch.from_pylist([{"shard": shard, "seq": seq, "first": first, "n_ids": len(ids), "n_docs": len(names), "data": segment(names, known, lengths, ids)}], schema=_FILE)
+            first, seq, held = first + len(ids), seq + 1, []
             return row
 
         for whole in batches:
-            for batch in sliced(whole, "text", 2 << 20):
-                ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-                for name, v in zip(batch.column(0).to_pylist(), ids, strict=True):
-                    names.append(name)
-                    docs.append(np.concatenate((v, tail)))
-                    held += len(docs[-1])
-                    if held >= segment_ids:
-                        yield segment()
-        if docs:
-            yield segment()
+            for batch in sliced(whole, "text"):
+                ids, offs = enc.encode_column(batch.column(1))
+                if end_id is not None:
+                    ids = np.insert(ids, offs[1:], end_id)
+                    offs = offs + np.arange(len(offs))
+                names = batch.column(0)
+                held.append((names.fill_null(0).to_numpy(), names.is_valid().to_numpy(zero_copy_only=False), np.diff(offs), ids))
+                if sum(len(h[3]) for h in held) >= segment_ids:
+                    yield made()
+        if held:
+            yield made()
 
     return run
 
 
 def write_tokens(
-    docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2, segment_ids: int = 1 << 18
+    docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2, segment_ids: int = 1 << 18, range_bytes: int = 256 << 20
 ) -> None:
     """Encodes every whole text (null: empty), ends it with `end_id`, and writes token files to `out` in ascending id order.
 
-    Null ids come first; rows of one id are ordered by their text. Other columns are ignored.
-    One range exchange; a range is bounded by sampling, whatever the sources of its rows.
+    Ids are whole numbers; null ids come first. Rows of one id are ordered by a hash of their
+    text, so that they too can be dealt to several files; equal rows are all written. Other
+    columns are ignored. One range exchange, its bounds by sampling: about `range_bytes` of
+    the input to a range, and as many ranges as the session has shuffle partitions at least.
+    A segment ends with the slice (1 MB of text, or one longer text) that brings it to
+    `segment_ids` ids. An empty table gives no segment. A task needs a few times its longest text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(input_bytes(rows) or 0) // range_bytes))
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ddl = "shard int, seq int, first long, n_ids long, n_docs int, data binary"
     ordered.mapInArrow(_writer(path or vocabulary_path(), end_id, segment_ids), ddl).write.mode("overwrite").option("compression", "none").parquet(out)
 
@@ -228,18 +235,21 @@ def write_tokens(
 READS = {"n_tokens": ("long", pa.int64()), "ids": ("array<long>", pa.list_(pa.int64())), "ids_crc32": ("long", pa.int64())}
 
 
+def _crcs(ids: np.ndarray, offs: np.ndarray) -> list[int]:
+    raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * offs).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _reader(outputs: Sequence[str]):
-    make = {"n_tokens": len, "ids": lambda v: v.astype(np.int64), "ids_crc32": lambda v: zlib.crc32(v.astype("<u4").tobytes())}
+    make = {"n_tokens": lambda ids, offs: np.diff(offs), "ids": lambda ids, offs: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int64))), "ids_crc32": _crcs}
 
     def run(batches):
         for batch in batches:
             for start, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names, lengths, ids = load(blob.as_buffer().to_pybytes())
-                ends = np.cumsum(lengths.astype(np.int64))
-                begins = ends - lengths.astype(np.int64)
-                parts = [ids[a:b] for a, b in zip(begins, ends, strict=True)]
-                cols = [pa.array([make[o](p) for p in parts], READS[o][1]) for o in outputs]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins + start, pa.int64()), *cols], names=["doc_id", "start", *outputs])
+                names, lengths, ids = load(blob.as_buffer())
+                offs = np.concatenate(([0], np.cumsum(lengths)))
+                cols = [x if isinstance(x := make[o](ids, offs), pa.Array) else pa.array(x, READS[o][1]) for o in outputs]
+                yield pa.RecordBatch.from_arrays([names, pa.array(offs[:-1] + start, pa.int64()), *cols], names=["doc_id", "start", *outputs])
 
     return run
 

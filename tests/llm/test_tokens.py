@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from sparseframe.llm import bpe as B
 from sparseframe.llm.bpe import Decoder, Encoder, bpe, vocabulary_path
 from sparseframe.llm.token_files import dump, load, pack, token_files, unpack
 
@@ -24,10 +25,29 @@ def test_trees_and_words_are_the_library_s(leaf, window):
     for t in random_texts(400, leaf):
         want = enc.tok.encode(t, add_special_tokens=False).ids
         assert enc.encode_trees([t])[0].tolist() == want
-        assert enc.encode_words([t.encode()])[0].tolist() == want
+        assert enc.encode([t])[0].tolist() == want
         assert Decoder(enc.tok).text(want) == enc.tok.decode(want, skip_special_tokens=False)
 
 
+def test_a_batch_of_texts_and_a_small_memo_give_the_same(monkeypatch):
+    monkeypatch.setattr(B, "MEMO_WORDS", 60)
+    monkeypatch.setattr(B, "MEMO_IDS", 300)
+    enc = Encoder(vocabulary_path(), 30, 4)
+    texts = [*random_texts(200, 9), "", "  ", "\n", "x" * 500, "É" * 100 + " ×a÷ İx Œuvre, été!!"]
+    for k in range(0, len(texts), 40):
+        for t, ids in zip(texts[k : k + 40], enc.encode(texts[k : k + 40]), strict=True):
+            assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.memo.h1) <= 60 or k == 0
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    real = B.hash_spans
+    monkeypatch.setattr(B, "hash_spans", lambda data, a, b, which=0: real(data, a, b, which) % np.uint64(7) if not which else real(data, a, b, which))
+    enc = Encoder(vocabulary_path(), 40, 8)
+    for t in random_texts(60, 4):
+        assert enc.encode([t])[0].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
 def test_a_tokenizer_that_keeps_spaces_goes_by_trees():
     enc = Encoder(vocabulary_path("byte_bpe_50k.json"), 64, 8)
     assert not enc.by_word
@@ -65,7 +85,7 @@ def test_simple8b_round_trip():
             assert (unpack(words, offs, n) == x).all() and len(offs) == 1 + -(-n // 1024)
     assert len(pack(np.ones(6000, np.uint64))[0]) == 5 * 18 + 15
     names, lengths, ids = load(dump([5, None, -1], [np.arange(3), np.zeros(0), np.arange(2)]))
-    assert names == [5, None, -1] and lengths.tolist() == [3, 0, 2] and ids.tolist() == [0, 1, 2, 0, 1]
+    assert names.to_pylist() == [5, None, -1] and lengths.tolist() == [3, 0, 2] and ids.tolist() == [0, 1, 2, 0, 1]
 
 
 def test_token_files(spark):
