@@ -4,10 +4,11 @@ Words are runs of ASCII letters, digits and multi-byte characters, A-Z lower-cas
 of a text are the distinct slots (of ``2**bits``) of its words, its pairs of neighbours and
 its pairs with one word between. FTRL-proximal keeps a rate for each coordinate and, by its
 L1 term, leaves most weights at exactly zero, so the model is a short list of slots and
-weights: at most ``max_weights`` are kept (the largest), which bounds what is broadcast.
+weights; all that are not zero are kept (at most ``2**bits``, 12 bytes each).
 
-Training takes the labelled texts with the least hash of their id, at most ``max_train``; one
-task learns from them in order of that hash. Scoring reads every whole text.
+Training takes the labelled texts with the least hash of their id, at most ``max_train`` and
+at most ``max_train_bytes`` of text; one task learns from them in order of that hash. Scoring
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, crc_mod4, sliced
+from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced
 from .kernels import ALNUM, LOWER, U, hash_spans, mix, utf8, words
 
 
@@ -83,47 +84,62 @@ class Ftrl:
         self.bias_n += g * g
 
 
-def _trainer(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, max_weights: int):
+def _trainer(bits: int, max_train: int, max_train_bytes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
     def run(batches):
         sets: list[np.ndarray] = []
         ys: list[int] = []
+        room = max_train_bytes
         for whole in batches:
             for batch in sliced(whole, "text"):
-                sets += [s.astype(np.int32) for s in _sets(batch.column(0), bits)]
-                ys += batch.column(1).to_pylist()
+                fits = []
+                for size in pa.compute.binary_length(batch.column(0)).to_pylist():
+                    fits.append(size <= room and len(sets) + sum(fits) < max_train)
+                    room -= size if fits[-1] else 0
+                part = batch.filter(pa.array(fits))
+                if len(part):
+                    sets += [s.astype(np.int32) for s in _sets(part.column(0), bits)]
+                    ys += part.column(1).to_pylist()
         model = Ftrl(bits, alpha, beta, l1, l2)
         for _ in range(epochs):
             for x, y in zip(sets, ys, strict=True):
                 model.learn(x, y, 1.0)
         x = np.flatnonzero(np.abs(model.z) > l1)
         w = model.weights(x)
-        if len(x) > max_weights:
-            keep = np.sort(np.argsort(-np.abs(w), kind="stable")[:max_weights])
-            x, w = x[keep], w[keep]
-        rows = len(x) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *x.tolist()], pa.int64()), pa.array([model.bias() if rows and ys else 0.0, *w.tolist()], pa.float64())], names=["slot", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *x.tolist()], pa.int64()), pa.array([model.bias() if ys else 0.0, *w.tolist()], pa.float64())], names=["slot", "weight"])
 
     return run
 
 
-def train(
-    rows: DataFrame, bits: int = 20, max_train: int = 20_000, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, max_weights: int = 200_000
-) -> Model:
-    """rows (id, text, label 0/1) -> Model. Rows with a null text or label are left out; no rows give a model that scores 0.5."""
-    bounded_batches(rows.sparkSession)
-    seen = rows.where("text is not null and label is not null").select("id", "text", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("id").cast("string")).alias("h"))
-    # ids first, so that only the sample's texts move
-    taken = seen.select("h", "id").orderBy("h", "id").limit(max_train).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
-    if not taken["n"]:
-        return Model(bits, np.zeros(0, np.int64), np.zeros(0), 0.0)
-    sample = seen.where(F.col("h") <= taken["h"]).repartition(1).sortWithinPartitions("h", "id", "text").select("text", "label")
-    got = sample.mapInArrow(_trainer(bits, epochs, alpha, beta, l1, l2, max_weights), "slot long, weight double").collect()
+def _bound(ids: DataFrame, max_train: int):
+    """The largest of the `max_train` least hashes of ids; None without ids."""
+    return ids.select(F.xxhash64(F.col("id").cast("string")).alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+
+
+def _fit(sample: DataFrame, bits: int = 20, max_train: int = 20_000, max_train_bytes: int = 96 << 20, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
+    """sample (h, id, text, label), in order of (h, id, label, text)."""
+    bounded_batches(sample.sparkSession)
+    ordered = sample.repartition(1).sortWithinPartitions("h", "id", "label", "text").select("text", "label")
+    got = ordered.mapInArrow(_trainer(bits, max_train, max_train_bytes, epochs, alpha, beta, l1, l2), "slot long, weight double").collect()
     table = {r["slot"]: r["weight"] for r in got}
     bias = table.pop(-1, 0.0)
     slots = np.array(sorted(table), dtype=np.int64)
     return Model(bits, slots, np.array([table[s] for s in slots.tolist()]), bias)
 
 
+def train(rows: DataFrame, max_train: int = 20_000, **training) -> Model:
+    """rows (id, text, label 0/1) -> Model. Rows with a null text or label are left out; no rows give a model that scores 0.5.
+
+    A text that no more fits into `max_train_bytes` is passed over. Rows of one id follow one
+    another; equal rows each count.
+    """
+    seen = rows.where("text is not null and label is not null").select("id", "text", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("id").cast("string")).alias("h"))
+    # ids first, so that only the sample's texts move
+    bound = _bound(seen.select("id"), max_train)
+    if bound is None:
+        return Model(training.get("bits", 20), np.zeros(0, np.int64), np.zeros(0), 0.0)
+    return _fit(seen.where(F.col("h") <= bound), max_train=max_train, **training)
+
+
 def scores(col: pa.Array, model: Model) -> np.ndarray:
     """The probability of label 1 for each text; null and empty texts get the intercept's."""
     slots, rows = features(col, model.bits)
@@ -150,29 +166,39 @@ def _scorer(sent, n_cols: int, threshold: float):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep=("doc_id",), threshold: float = 0.3) -> DataFrame:
-    """docs -> the columns `keep`, score (0 to 1) and predicted (1 if score >= threshold) for every row; no shuffle."""
+    """docs -> the columns `keep`, score (0 to 1) and predicted (1 if score >= threshold) for every row; no shuffle.
+
+    A null or empty text gets the intercept's score. Rows are independent: repeated rows each
+    come back, equal texts have equal scores, an empty table gives no rows. A kept column named
+    like an output is dropped, other columns are ignored. A very long text is scored whole, in
+    some ten times its size of memory.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = clean_name("_text", keep)
+    keep = kept_columns(docs, keep, ("score", "predicted"))
+    text = clean_name("_text", [*keep, "score", "predicted"])
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "predicted int"])
     return rows.mapInArrow(_scorer(sent, len(keep), threshold), schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **training) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, **training) -> DataFrame:
     """docs (id, text), labels (id, label) -> (doc_id, held_out, score, predicted), one row per input row.
 
     Trains on the labelled documents whose crc32(id as text) mod 4 is not 2. Labels, and any
-    other column, are no inputs of a score. A null id is not held out and never trained on.
-    An id with several labels or texts trains once for each. Without usable labels every score is 0.5.
+    other column, are no inputs of a score. Ids are whole numbers. A null id is not held out and
+    never trained on. An id with several labels or texts trains with each pair of them.
+    Without usable labels every score is 0.5.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label")).where((crc_mod4(F.col("id")) != 2) & F.col("label").isNotNull())
-    # the labels of the sample alone meet the texts: its hash bound is known before the join
-    limit = training.get("max_train", 20_000)
-    bound = marks.select(F.xxhash64(F.col("id").cast("string")).alias("h"), "id").orderBy("h", "id").limit(limit).agg(F.max("h")).first()[0]
-    marks = marks.where(F.xxhash64(F.col("id").cast("string")) <= F.lit(bound if bound is not None else 0))
-    near = rows.where(F.xxhash64(F.col("doc_id").cast("string")) <= F.lit(bound if bound is not None else 0))
-    model = train(marks.join(near, F.col("id") == F.col("doc_id")).select("id", "text", "label"), **training)
+    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where((crc_mod4(F.col("id")) != 2) & F.col("label").isNotNull()).distinct()
+    bound = _bound(marks.select("id").distinct(), max_train)
+    if bound is None:
+        model = Model(training.get("bits", 20), np.zeros(0, np.int64), np.zeros(0), 0.0)
+    else:
+        # at most max_train ids with their one or two labels: texts are read where they are, and only the sample's move
+        marks = marks.withColumn("h", F.xxhash64(F.col("id").cast("string"))).where(F.col("h") <= bound)
+        near = rows.where(F.col("text").isNotNull() & (F.xxhash64(F.col("doc_id").cast("string")) <= bound))
+        model = _fit(near.join(F.broadcast(marks), F.col("id") == F.col("doc_id")).select("h", "id", "text", "label"), max_train=max_train, **training)
     out = score(rows, model)
     return out.select("doc_id", F.coalesce(crc_mod4(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
