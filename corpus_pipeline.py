@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, near duplicates, decontamination, personal data, tokens.
 
 Every stage works on all that the one before kept. Each is written as Parquet to the shared
-folder and read again as the next one's documents.
+folder and read again as the next one's documents. All take an empty table and give one, and
+ignore columns beside those of documents. A text is one row of one task, however long: a task
+needs a few times its longest text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep."""
+    """Documents that the rules and their host's verdict keep.
+
+    A null or empty text has no words and goes. A null source has no verdict. Ids play no part:
+    repeated rows each count for their host, and stay or go together.
+    """
     return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -50,18 +56,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. Null and empty texts hold none and stay; rows without an id stay; of rows that share an id with a leak, all go."""
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with spans of personal data replaced by their kind; n_chars follows."""
+    """Texts with spans of personal data replaced by their kind; n_chars follows. Every row comes back; a null text stays null, and so does its n_chars."""
     out = find_pii(docs.select(*COLUMNS), keep=("doc_id", "lang", "source"), outputs=("redacted",))
     return out.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of every text."""
+    """doc_id, source, n_tokens and ids of every text; a null or empty text has no ids. Repeated rows each come back."""
     return bpe(docs, keep=("doc_id", "source"), outputs=("n_tokens", "ids"))
 
 
