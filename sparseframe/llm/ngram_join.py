@@ -17,8 +17,9 @@ link when ``100 * |A & B| >= percent * |A | B|``. The join keeps these steps:
    then exact intersection of the whole sets.
 5. *Components* of the links by large-star / small-star, joined back to every document.
 
-The sketch (``2**sketch_bits`` one-byte ranks) and the bitmap of wanted ids
-(``2**filter_bits`` bits) are all that is broadcast; both have a fixed size.
+The sketch (``2**sketch_bits`` one-byte ranks) and a bitmap of wanted ids are all that is
+broadcast. The bitmap has eight bits for each id, ``2**filter_bits`` at most; where there are
+more ids, rows meet them in a semi-join by shuffle.
 """
 
 from __future__ import annotations
@@ -50,24 +51,29 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def _scan(k: int, bits: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("seg", pa.int32()), ("counts", pa.binary())])
+
+    def sketch(counts):
+        for lo in range(0, 1 << bits, _SEG * 64):
+            segs = range(lo // _SEG, min(lo // _SEG + 64, (1 << bits) // _SEG))
+            blobs = [zlib.compress(counts[s * _SEG : (s + 1) * _SEG].astype(np.int64).tobytes(), 1) for s in segs]
+            m = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(list(segs), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+
     def run(batches):
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        shift = U(64 - bits)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("seg", pa.int32()), ("counts", pa.binary())])
-        any_rows = False
+        counts, held, shift = np.zeros(1 << bits, dtype=np.uint32), 0, U(64 - bits)
         for ids, sets in _sets(batches, k):
-            any_rows = True
-            if ids:
-                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << bits)
             m = len(ids)
+            for s in sets:
+                np.add.at(counts, (s >> shift).astype(np.int64), np.uint32(1))
+                held += len(s)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-        if any_rows:
-            for lo in range(0, 1 << bits, _SEG * 64):
-                segs = range(lo // _SEG, min(lo // _SEG + 64, (1 << bits) // _SEG))
-                blobs = [zlib.compress(counts[s * _SEG : (s + 1) * _SEG].astype(np.int64).tobytes(), 1) for s in segs]
-                m = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(list(segs), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            if held >> 31:  # before a count could run over
+                yield from sketch(counts)
+                counts[:], held = 0, 0
+        if held:
+            yield from sketch(counts)
 
     return run
 
@@ -116,9 +122,9 @@ def _wanted(bits: int, bitmap):
     return run
 
 
-def _wanted_sets(k: int, bits: int, bitmap):
+def _wanted_sets(k: int, keep):
     def run(batches):
-        for ids, sets in _sets(_wanted(bits, bitmap)(batches), k):
+        for ids, sets in _sets(keep(batches), k):
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
 
     return run
@@ -156,25 +162,27 @@ def _verify(percent: int):
     return run
 
 
-def _bitmap(spark, ids: DataFrame, bits: int):
+def _bitmap(ids: DataFrame, bits: int):
     """A broadcast bitmap of 2**bits bits with the ids' slots set: no row is lost by it, a few extra ones pass."""
     slot = F.pmod("id", F.lit(1 << bits))
     rows = ids.select(slot.alias("s")).distinct().select(F.expr("s div 32768").alias("k"), F.expr("s % 32768").alias("p")).groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bm"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for k, bm in rows.collect():
         out[k * 4096 : k * 4096 + len(bm)] = np.frombuffer(bytes(bm), dtype=np.uint8)
-    return spark.sparkContext.broadcast(out.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def ngram_jaccard(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, sketch_bits: int = 22, filter_bits: int = 23
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, sketch_bits: int = 22, filter_bits: int = 26
 ) -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id), one row per input row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a text with fewer than
     ``k`` words is one shingle, one without words (or null) has none and is linked with nothing.
     component_id is the least id reachable by links, its own included. Rows with a null id are
-    returned with a null component. Repeated ids are rows of one node. Other columns are ignored.
+    returned with a null component. Repeated ids are rows of one node. Ids are whole numbers;
+    other columns are ignored. An empty table gives no rows. A task needs a few times its
+    longest text. Tables that the result reads stay in the shared folder until the application ends.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -208,17 +216,25 @@ def ngram_jaccard(
             pairs = pairs.join(rows.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{mark}_{c}") for c in cols]), end)
         return pairs
 
+    def only(rows: DataFrame, ids: DataFrame, most: int, make, schema: str) -> DataFrame:
+        """make(keep) of rows (doc_id, ...) whose id is among at most `most` ids, and perhaps of others."""
+        bits = max(15, (8 * most - 1).bit_length())
+        if bits > filter_bits:
+            rows = rows.join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+            return rows.mapInArrow(make(lambda batches: batches), schema)
+        return rows.mapInArrow(make(_wanted(bits, _bitmap(ids, bits))), schema)
+
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = tmp.cut(pairs.distinct(), f"pairs-{name}")
-        wanted = _bitmap(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")), filter_bits)
-        few = lists.select("doc_id", "tokens", "n").mapInArrow(_wanted(filter_bits, wanted), "doc_id long, tokens array<long>, n long")
+        ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("id"))
+        few = only(lists.select("doc_id", "tokens", "n"), ends(pairs), 2 * pairs.count(), lambda keep: keep, "doc_id long, tokens array<long>, n long")
         # all common shingles stand in both prefixes but for those after the prefix that ends first
         rest_of = lambda m: F.col(f"{m}_n") - F.size(f"{m}_tokens")
         most = F.size(F.array_intersect("x_tokens", "y_tokens")) + F.greatest(rest_of("x"), rest_of("y"))
         near = on_both(pairs, few, "tokens", "n").where(most * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
         near = tmp.cut(near, f"near-{name}")
-        wanted = _bitmap(spark, near.select(F.explode(F.array("a", "b")).alias("id")), filter_bits)
-        sets = tmp.cut(base.where("doc_id is not null").mapInArrow(_wanted_sets(k, filter_bits, wanted), "doc_id long, members binary"), f"sets-{name}")
+        whole = only(base.where("doc_id is not null"), ends(near), 2 * near.count(), lambda keep: _wanted_sets(k, keep), "doc_id long, members binary")
+        sets = tmp.cut(whole, f"sets-{name}")
         found = tmp.cut(on_both(near, sets, "members").select("a", "b", "x_members", "y_members").mapInArrow(_verify(percent), "a long, b long").distinct(), f"links-{name}")
         tmp.drop(f"sets-{name}", f"near-{name}")
         return found
@@ -241,4 +257,6 @@ def ngram_jaccard(
     final = components(first.unionByName(second), tmp, "all")
 
     of_rep = reps.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    return rows.join(of_rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # texts without words have no digest and meet nothing
+    full = rows.where("digest is not null").join(of_rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return full.unionByName(rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
