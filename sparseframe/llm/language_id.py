@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, crc_mod4, sliced
+from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced
 from .kernels import utf8, words
 
 #: What may stand in a word: ASCII letters and all bytes of longer characters.
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-#: Languages whose counts a task holds at once, and for which texts of 2 MB are looked at together (fewer where there are more languages).
+#: Languages whose counts a task holds at once, and for which texts of 1 MB are looked at together (fewer where there are more languages).
 _HELD = 64
 #: Values looked up at once.
 _LOOKED_UP = 1 << 24
@@ -104,12 +104,18 @@ def train(rows: DataFrame, bits: int = 16, max_train: int = 20_000, smoothing: f
     sample = seen.join(F.broadcast(bound), "lang").where("h <= bound").select("text", "lang")
     counts = sample.mapInArrow(_counter(bits), "lang string, slot long, n long")
     logp = np.empty((1 << bits, len(langs)), np.float32)
-    got = dict(list(counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas().groupby("lang")))  # at most 2**bits rows a language
-    for k, lang in enumerate(langs):
-        n = np.full(1 << bits, smoothing)
-        if lang in got:
-            n[got[lang].slot.to_numpy()] += got[lang].n.to_numpy()
-        logp[:, k] = np.log(n / n.sum())
+    logp[:] = -np.log(1 << bits)  # of a language whose texts have no letters
+    slots = 1 << bits
+
+    def packed(table: pa.Table) -> pa.Table:
+        n = np.full(slots, smoothing)
+        n[table["slot"].to_numpy()] += table["n"].to_numpy()
+        return pa.table({"lang": table["lang"][:1], "logp": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    # at most 2**bits rows a language meet, and one row of 2**(bits + 2) bytes a language comes to the driver
+    summed = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    for lang, row in summed.groupBy("lang").applyInArrow(packed, "lang string, logp binary").toLocalIterator():
+        logp[:, langs.index(lang)] = np.frombuffer(bytes(row), np.float32)
     return Model(langs, bits, logp)
 
 
@@ -196,7 +202,7 @@ def _predictor(sent, n_cols: int, iterations: int, penalty: float):
     def run(batches):
         model = sent.value
         for whole in batches:
-            for batch in sliced(whole, whole.schema.names[n_cols], (2 << 20) * _HELD // max(_HELD, len(model.langs))):
+            for batch in sliced(whole, whole.schema.names[n_cols], (1 << 20) * _HELD // max(_HELD, len(model.langs))):
                 langs, share, size = predict(pa.compute.fill_null(batch.column(n_cols), ""), model, iterations, penalty)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(langs, pa.string()), pa.array(share, pa.float64()), pa.array(size, pa.int64())], names=[*batch.schema.names[:n_cols], "lang_pred", "score", "n_langs"])
 
@@ -204,10 +210,17 @@ def _predictor(sent, n_cols: int, iterations: int, penalty: float):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=("doc_id",), iterations: int = 8, penalty: float = 2.0) -> DataFrame:
-    """docs -> the columns `keep`, lang_pred, score (the language's share) and n_langs (languages in the mixture) for every row; no shuffle."""
+    """docs -> the columns `keep`, lang_pred, score (the language's share) and n_langs (languages in the mixture) for every row; no shuffle.
+
+    A null, empty or letterless text is `und` with score 0. Of languages with equal shares the
+    first by name is predicted. Rows are independent: repeated rows each come back, an empty
+    table gives no rows. A kept column named like an output is dropped, other columns are
+    ignored. A very long text is looked at whole: its words times the languages are in memory.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = clean_name("_text", keep)
+    keep = kept_columns(docs, keep, ("lang_pred", "score", "n_langs"))
+    text = clean_name("_text", [*keep, "lang_pred", "score", "n_langs"])
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "n_langs long"])
     return rows.mapInArrow(_predictor(sent, len(keep), iterations, penalty), schema)
@@ -218,7 +231,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from rows with a lang whose crc32(id as text) mod 4 is not 2; only the text is an
     input of a prediction. A null or letterless text is `und` with score 0, and so is every
-    text where no language can be learned. A null id is not held out and never learned from.
+    text where no language can be learned. Ids are whole numbers; a null id is not held out and
+    never learned from. Repeated rows are each learned from and come back.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     model = train(rows.where(crc_mod4(F.col("doc_id")) != 2).select(F.col("doc_id").alias("id"), "text", "lang"), **training)
