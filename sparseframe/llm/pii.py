@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +28,8 @@ ADDED = ("secret", "id_number")
 KINDS = BASE + ADDED
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The ip pattern, for whole runs of digits only: a match never begins or ends within one.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -215,38 +218,50 @@ def labelled_table() -> list[tuple[str, list[str]]]:
     return table
 
 
+def _lse(v: np.ndarray, axis: int) -> np.ndarray:
+    m = v.max(axis=axis, keepdims=True)
+    return np.log(np.exp(v - m).sum(axis=axis)) + m.squeeze(axis)
+
+
+def gradient(emit: np.ndarray, step: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of a line's labels y with features x, and its derivatives by emit and step (forward-backward)."""
+    e, n, k = x @ emit, len(y), len(step)
+    fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
+    fwd[0] = e[0]
+    for t in range(1, n):
+        fwd[t] = e[t] + _lse(fwd[t - 1][:, None] + step, 0)
+    for t in range(n - 2, -1, -1):
+        bwd[t] = _lse(step + (e[t + 1] + bwd[t + 1])[None, :], 1)
+    z = _lse(fwd[-1], 0)
+    d_emit, d_step = x.T @ (np.eye(k)[y] - np.exp(fwd + bwd - z)), np.zeros((k, k))
+    for t in range(1, n):
+        d_step[y[t - 1], y[t]] += 1
+        d_step -= np.exp(fwd[t - 1][:, None] + step + (e[t] + bwd[t])[None, :] - z)
+    said = e[np.arange(n), y].sum() + step[y[:-1], y[1:]].sum()
+    return float(said - z), d_emit, d_step
+
+
 def train(table: list[tuple[str, list[str]]] | None = None, max_rows: int = 5_000, steps: int = 100, rate: float = 0.5, l2: float = 0.02) -> Model:
     """Maximum likelihood with an L2 penalty by AdaGrad over the whole table (its first `max_rows` rows); a line is a row."""
     table = (labelled_table() if table is None else table)[:max_rows]
     names = ("-", *ADDED)
-    xs, ys = [], []
+    lines = []
     for text, labels in table:
         data, offs = utf8(pa.array([text.replace("\n", " ")]))
         starts, ends, _, line = _lines(data, offs)
         if len(starts) != len(labels):
             raise ValueError(f"{len(starts)} words but {len(labels)} labels: {text!r}")
         if len(starts):
-            xs.append(shapes(data, starts, ends, line).astype(np.float64))
-            ys.append(np.array([names.index(v) for v in labels]))
+            lines.append((shapes(data, starts, ends, line).astype(np.float64), np.array([names.index(v) for v in labels])))
     k = len(names)
     emit, step = np.zeros((len(FEATURES), k)), np.zeros((k, k))
     g_emit, g_step = np.full(emit.shape, 1e-6), np.full(step.shape, 1e-6)
-    lse = lambda v, axis: np.log(np.exp(v - (m := v.max(axis=axis, keepdims=True))).sum(axis=axis)) + m.squeeze(axis)
-    for _ in range(steps if xs else 0):
+    for _ in range(steps if lines else 0):
         d_emit, d_step = -l2 * emit, -l2 * step
-        for x, y in zip(xs, ys, strict=True):
-            e, n = x @ emit, len(y)
-            fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
-            fwd[0] = e[0]
-            for t in range(1, n):
-                fwd[t] = e[t] + lse(fwd[t - 1][:, None] + step, 0)
-            for t in range(n - 2, -1, -1):
-                bwd[t] = lse(step + (e[t + 1] + bwd[t + 1])[None, :], 1)
-            z = lse(fwd[-1], 0)
-            d_emit += x.T @ (np.eye(k)[y] - np.exp(fwd + bwd - z))
-            for t in range(1, n):
-                d_step[y[t - 1], y[t]] += 1
-                d_step -= np.exp(fwd[t - 1][:, None] + step + (e[t] + bwd[t])[None, :] - z)
+        for x, y in lines:
+            _, by_emit, by_step = gradient(emit, step, x, y)
+            d_emit += by_emit
+            d_step += by_step
         g_emit += d_emit**2
         g_step += d_step**2
         emit += rate * d_emit / np.sqrt(g_emit)
@@ -286,9 +301,6 @@ def viterbi(e: np.ndarray, line: np.ndarray, step: np.ndarray) -> np.ndarray:
     return labels
 
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-
-
 def crf_spans(col: pa.Array, model: Model) -> list[list[tuple[str, int, int]]]:
     """Spans of ADDED kinds for each text, in code points, without the signs around them."""
     data, offs = utf8(col)
@@ -302,25 +314,34 @@ def crf_spans(col: pa.Array, model: Model) -> list[list[tuple[str, int, int]]]:
     new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (labels[hit[1:]] != labels[hit[:-1]]) | (line[hit[1:]] != line[hit[:-1]])))
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(hit)) - 1
+    points = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
+    begin = points[starts[hit[heads]]] - points[offs[row[heads]]]
     raw = data.tobytes()
-    for h, t in zip(heads, tails, strict=True):
-        r = int(row[h])
-        a, b = int(starts[hit[h]]), int(ends[hit[t]])
-        said = raw[a:b].decode()
-        kept = _EDGE.sub("", said)
-        if kept:
-            begin = len(raw[offs[r] : a].decode()) + said.index(kept)
-            out[r].append((ADDED[labels[hit[h]] - 1], begin, begin + len(kept)))
+    for h, t, at in zip(heads.tolist(), tails.tolist(), begin.tolist(), strict=True):
+        said = raw[starts[hit[h]] : ends[hit[t]]].decode()
+        a, b = 0, len(said)
+        while a < b and not said[a].isalnum():
+            a += 1
+        while b > a and not said[b - 1].isalnum():
+            b -= 1
+        if a < b:
+            out[row[h]].append((ADDED[labels[hit[h]] - 1], at + a, at + b))
     return out
 
 
+def apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of the spans that share no place with any of the others."""
+    by_start = sorted((a, b) for _, a, b in others)
+    starts, ends = [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[1]]
+
+
 def find(col: pa.Array, model: Model) -> list[tuple[list, list]]:
     """For each text its base spans, and all spans: base ones and those of the CRF that touch none of them."""
     out = []
     for text, added in zip(col.to_pylist(), crf_spans(col, model), strict=True):
         base = base_spans(text or "")
-        free = [s for s in added if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-        out.append((base, base + sorted(free, key=lambda s: (KINDS.index(s[0]), s[1]))))
+        out.append((base, base + sorted(apart(added, base), key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
 
 
@@ -338,19 +359,20 @@ def redact(text: str, spans) -> str:
     return "".join([*out, text[done:]])
 
 
-_COLUMNS = {**{f"n_{k}": "long" for k in BASE}, "base_sha256": "string", "spans": "string", "redacted": "string"}
+_COLUMNS = {**{f"n_{k}": "long" for k in BASE}, "base_sha256": "string", "spans": "string", "n_spans": "long", "redacted": "string"}
 
 
 def _finder(sent, n_cols: int, outputs: tuple[str, ...]):
     def run(batches):
         model = sent.value
         for whole in batches:
-            for batch in sliced(whole, whole.schema.names[n_cols], 2 << 20):
+            for batch in sliced(whole, whole.schema.names[n_cols]):
                 col = batch.column(n_cols)
                 got = find(col, model)
                 made = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in got] for k in BASE}
                 made["base_sha256"] = [hashlib.sha256(_said(base).encode()).hexdigest() for base, _ in got]
                 made["spans"] = [_said(spans) for _, spans in got]
+                made["n_spans"] = [len(spans) for _, spans in got]
                 if "redacted" in outputs:
                     made["redacted"] = [None if t is None else redact(t, spans) for t, (_, spans) in zip(col.to_pylist(), got, strict=True)]
                 cols = [pa.array(made[o], pa.int64() if _COLUMNS[o] == "long" else pa.string()) for o in outputs]
@@ -363,7 +385,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep=("doc_id",), outputs:
     """docs -> the columns `keep` and the asked outputs for every row; no shuffle.
 
     spans lists kind:start:end (code points, end exclusive) of all kinds, comma-joined, by kind
-    in the order of KINDS, then start. A null text has no spans; its redacted text is null.
+    in the order of KINDS, then start; n_spans counts them. A null text has no spans; its
+    redacted text is null. Rows are independent: repeated rows each come back, an empty table
+    gives no rows. A kept column named like an output is dropped, other columns are ignored.
+    Time grows in proportion to a text's length, whatever it holds.
     """
     if set(outputs) - set(_COLUMNS):
         raise ValueError(f"unknown outputs: {sorted(set(outputs) - set(_COLUMNS))}")
