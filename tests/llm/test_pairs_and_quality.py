@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -55,8 +56,9 @@ def brute(texts, k, percent):
 def test_jaccard_join_is_brute_force(spark, k, percent):
     texts = [*corpus(k), None, "", " \n", "x", "X", "x y", "Été", "été", "a b c", "A  B\tC"]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, n string")
-    got = sorted(tuple(r) for r in ngram_jaccard(df, k=k, percent=percent, sketch_bits=12, filter_bits=15).collect())
-    assert got == brute(texts, k, percent)
+    want = brute(texts, k, percent)
+    for bits in (15, 3):  # with the bitmap, and by semi-joins
+        assert sorted(tuple(r) for r in ngram_jaccard(df, k=k, percent=percent, sketch_bits=12, filter_bits=bits).collect()) == want
 
 
 def test_jaccard_join_edges(spark):
@@ -190,3 +192,53 @@ def test_other_words_with_one_hash_do_not_hide_repeats(spark, monkeypatch):
     texts = ["a b c x y z a b c", "a b c d e f", "a b c a b c a b c", "p q r s t p q r u v p q"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r["n_repeat_words"] for r in q.measured(df).orderBy("doc_id").collect()] == [measures(t)[4] for t in texts]
+
+
+def test_pieces_shared_by_many_items_and_places():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    shared = " ".join(word() for _ in range(8))
+    items = [(i, f"{' '.join(word() for _ in range(9))} {shared} {' '.join(word() for _ in range(9))}") for i in range(120)]
+    ix = index(items, 5)
+    made = lambda n: f"{' '.join(f'{shared} {word()}' for _ in range(n))} {items[7][1][:-1]}x"
+    took = []
+    for n in (150, 600):
+        text, began = made(n), time.process_time()
+        got = search([text], ix)
+        took.append(time.process_time() - began)
+        assert [(d, i, e) for d, i, _, _, e in got] == [(0, 7, 1)]
+    assert took[1] < 8 * max(took[0], 0.1)
+
+
+def test_verification_up_the_tree_loses_nothing():
+    r = random.Random(12)
+    for _ in range(150):
+        item = "".join(r.choice("ab") for _ in range(r.randrange(20, 140)))
+        percent = r.choice([5, 10, 20])
+        t = list(item)
+        for _ in range(budget(len(item), percent) + r.randrange(-1, 3)):
+            t[r.randrange(len(t))] = r.choice(["", "a", "b", "ab", "c"])
+        text = "".join(r.choice("ab") for _ in range(30)) + "".join(t) + "".join(r.choice("ab") for _ in range(30))
+        least = slow_distance(item, text)
+        got = search([text], index([(1, item)], percent))
+        assert [x[4] for x in got] == ([least] if least <= budget(len(item), percent) else [])
+
+
+def test_match_columns(spark):
+    df = spark.createDataFrame([(1, "ask me again " * 20_000, 5, "x")], "doc_id long, text string, item_id int, START string")
+    got = matches(df, spark.createDataFrame([(7, "ask me again", 1)], "item_id long, text string, doc_id int")).collect()
+    assert [tuple(r) for r in got] == [(1, 7, 0, 12, 0, 12)]
+
+
+def test_long_texts_of_the_exact_way_take_time_in_proportion(spark, monkeypatch):
+    from sparseframe.llm import quality_rules as q
+
+    monkeypatch.setattr(q, "_POS_BITS", 4)
+    took = []
+    for n in (5_000, 20_000):
+        df = spark.createDataFrame([(1, " ".join(f"w{i % (n // 2)}" for i in range(n)))], "doc_id long, text string").cache()
+        df.count()
+        began = time.time()
+        assert q.measured(df).first()["n_repeat_words"] == n
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 0.5)
