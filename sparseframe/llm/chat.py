@@ -33,7 +33,9 @@ def rotate(
     exclusive), comma-joined, empty if it has none here. Turns are ordered by turn number
     (null first), role, text; repeated rows are all rendered. A null role is the speaker
     "unknown", a null text is empty, a null conversation id is one conversation of its own.
-    Other columns are ignored. Conversations with context roles only have no perspective.
+    Other columns are ignored. Conversations with context roles only have no perspective; an
+    empty table gives no rows. The result holds every conversation once for each of its
+    participants: that is its size.
     """
     rows = turns.select(
         F.col(f"`{conv_col}`").alias("conv_id"),

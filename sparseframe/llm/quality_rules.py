@@ -22,7 +22,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def words_of(text: Column) -> Column:
-    """The words [^\\x20\\x09-\\x0D]+ of a text, none for null."""
+    """The words [^\\x20\\x09-\\x0D]+ of a text, none for null or empty; in memory all at once, however many."""
     t = F.trim(F.coalesce(text, F.lit("")), F.lit(_TRIM))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _SPACE))
 
