@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, sliced, without
+from .common import bounded_batches, clean_name, sliced, tidy, without
 from .kernels import LOWER, WORD, U, hash_spans, ragged, utf8, words
 
 #: Words (or parts of words) in a worker's memo, their ids in it at most, and the longest one in it, in bytes.
@@ -501,6 +501,7 @@ def _sha(said: list) -> list[str]:
 
 
 def _run(path: str, leaf: int, outputs: Sequence[str], n_cols: int, text_at: int):
+    @tidy
     def run(batches):
         enc, dec = encoder(path, leaf), decoder(path, leaf)
         make = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import Scratch, input_bytes, shared_dir
 
-__all__ = ["SPACES", "Scratch", "bounded_batches", "clean_name", "crc_mod4", "input_bytes", "kept_columns", "shared_dir", "sliced", "table", "without"]
+__all__ = ["SPACES", "Scratch", "bounded_batches", "clean_name", "crc_mod4", "input_bytes", "kept_columns", "shared_dir", "sliced", "table", "tidy", "without"]
 
 #: ASCII white space, as the contracts' word pattern [^\x20\x09-\x0D]+ leaves it out.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,6 +38,20 @@ def sliced(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
     yield batch.slice(start)
 
 
+def tidy(run):
+    """run, for mapInArrow: when a task's batches are done, memory that its worker holds without using it goes back to the system."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def crc_mod4(doc_id):
     """crc32 of the id as text, modulo 4, as a column."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -61,7 +77,7 @@ def kept_columns(df: DataFrame, keep, outputs) -> list[str]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 4 MB (one row at least), unless the session says otherwise."""
-    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
-        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    """Arrow batches of at most 1,000 rows and 4 MB (one row at least), and columnar batches of 512 rows from Parquet, unless the session says otherwise: rows are texts of any length."""
+    for key, value in (("execution.arrow.maxRecordsPerBatch", "1000"), ("execution.arrow.maxBytesPerBatch", str(4 << 20)), ("parquet.columnarReaderBatchSize", "512")):
+        if spark.conf.get(f"spark.sql.{key}", None) is None:
+            spark.conf.set(f"spark.sql.{key}", value)

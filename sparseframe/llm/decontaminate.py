@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, clean_name, sliced
+from .common import Scratch, bounded_batches, clean_name, sliced, tidy
 from .kernels import U, powers
 
 #: Characters of a piece that are hashed.
@@ -232,6 +232,7 @@ def search(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
 
 
 def _matcher(sent):
+    @tidy
     def run(batches):
         ix = sent.value
         for whole in batches:

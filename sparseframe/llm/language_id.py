@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced
+from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced, tidy
 from .kernels import utf8, words
 
 #: What may stand in a word: ASCII letters and all bytes of longer characters.
@@ -70,6 +70,7 @@ def _counter(bits: int):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "slot", "n"])
         total.clear()
 
+    @tidy
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for whole in batches:
@@ -199,6 +200,7 @@ def predict(col: pa.Array, model: Model, iterations: int = 8, penalty: float = 2
 
 
 def _predictor(sent, n_cols: int, iterations: int, penalty: float):
+    @tidy
     def run(batches):
         model = sent.value
         for whole in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, kept_columns, sliced
+from .common import bounded_batches, clean_name, kept_columns, sliced, tidy
 
 # HTML's elements by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,6 +318,7 @@ def main_text(page: str | None) -> str:
 
 
 def _extractor(n_cols: int):
+    @tidy
     def run(batches):
         for whole in batches:
             for batch in sliced(whole, whole.schema.names[n_cols]):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, sliced
+from .common import Scratch, bounded_batches, sliced, tidy
 from .components import components
 from .kernels import LOWER, U, hash_spans, shingles, utf8, words
 
@@ -60,6 +60,7 @@ def _scan(k: int, bits: int):
             m = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(list(segs), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
+    @tidy
     def run(batches):
         counts, held, shift = np.zeros(1 << bits, dtype=np.uint32), 0, U(64 - bits)
         for ids, sets in _sets(batches, k):
@@ -89,6 +90,7 @@ def _sum_segments(batches):
 
 
 def _prefixes(k: int, bits: int, percent: int, ranks):
+    @tidy
     def run(batches):
         table, shift = np.frombuffer(ranks.value, dtype=np.uint8), U(64 - bits)
         for ids, sets in _sets(batches, k):
@@ -111,6 +113,7 @@ def _prefixes(k: int, bits: int, percent: int, ranks):
 def _wanted(bits: int, bitmap):
     """Rows whose first column, an id, has its bit set in the bitmap."""
 
+    @tidy
     def run(batches):
         bit = np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in batches:
@@ -123,6 +126,7 @@ def _wanted(bits: int, bitmap):
 
 
 def _wanted_sets(k: int, keep):
+    @tidy
     def run(batches):
         for ids, sets in _sets(keep(batches), k):
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
@@ -146,6 +150,7 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
 
 
 def _verify(percent: int):
+    @tidy
     def run(batches):
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)

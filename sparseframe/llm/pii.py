@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, sliced
+from .common import bounded_batches, clean_name, sliced, tidy
 from .kernels import LOWER, hash_spans, utf8, words
 
 BASE = ("email", "ip", "card", "phone")
@@ -363,6 +363,7 @@ _COLUMNS = {**{f"n_{k}": "long" for k in BASE}, "base_sha256": "string", "spans"
 
 
 def _finder(sent, n_cols: int, outputs: tuple[str, ...]):
+    @tidy
     def run(batches):
         model = sent.value
         for whole in batches:

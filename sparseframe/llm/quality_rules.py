@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean_name, without
+from .common import Scratch, bounded_batches, clean_name, without
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
@@ -112,6 +112,7 @@ def quality_rules(
     `broadcast_hosts` hosts are broadcast; more are joined by shuffle, where adaptive
     execution splits the partitions of hosts with many documents.
     """
+    bounded_batches(docs.sparkSession)
     out = ("base_failed", "host_rate", "kept")
     rows = measured(without(docs, out), text_col).withColumn("base_failed", base_failed(min_words, repeat_percent))
     if not keep_text:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import Scratch, bounded_batches, input_bytes, sliced
+from .common import Scratch, bounded_batches, input_bytes, sliced, tidy
 
 BLOCK = 1024
 #: Selector -> (ids in a word, bits of each).
@@ -182,6 +182,7 @@ _FILE = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int6
 
 
 def _writer(path: str, end_id: int | None, segment_ids: int):
+    @tidy
     def run(batches):
         enc, shard = encoder(path, 1 << 40), TaskContext.get().partitionId()
         held, seq, first = [], 0, 0
@@ -243,6 +244,7 @@ def _crcs(ids: np.ndarray, offs: np.ndarray) -> list[int]:
 def _reader(outputs: Sequence[str]):
     make = {"n_tokens": lambda ids, offs: np.diff(offs), "ids": lambda ids, offs: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int64))), "ids_crc32": _crcs}
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced
+from .common import bounded_batches, clean_name, crc_mod4, kept_columns, sliced, tidy
 from .kernels import ALNUM, LOWER, U, hash_spans, mix, utf8, words
 
 
@@ -85,6 +85,7 @@ class Ftrl:
 
 
 def _trainer(bits: int, max_train: int, max_train_bytes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
+    @tidy
     def run(batches):
         sets: list[np.ndarray] = []
         ys: list[int] = []
@@ -155,6 +156,7 @@ def scores(col: pa.Array, model: Model) -> np.ndarray:
 
 
 def _scorer(sent, n_cols: int, threshold: float):
+    @tidy
     def run(batches):
         model = sent.value
         for whole in batches:
