@@ -14,8 +14,9 @@ from ..plans.meta import Diag, InputParameterError, MatrixMeta, Shape, Trans, ch
 class SparseMatrix:
     """Immutable: every operation gives a new matrix with a lazy plan; only scalars come to the driver."""
 
-    def __init__(self, entries: DataFrame, meta: MatrixMeta, held: tuple[DataFrame, ...] = ()):
-        self.entries, self.meta, self.held = entries, meta, held  # held: frames kept for this matrix, until destroy()
+    def __init__(self, entries: DataFrame, meta: MatrixMeta, held: tuple[DataFrame, ...] = (), terms: DataFrame | None = None):
+        """held: frames kept for this matrix, until destroy(). terms: rows (i, j, v) that sum to the entries, if these are sums: enough for what is linear in the matrix and sums anyway."""
+        self.entries, self.meta, self.held, self.terms = entries, meta, held, entries if terms is None else terms
 
     # --- facts ----------------------------------------------------------------------------
     m = property(lambda self: self.meta.m)
@@ -56,7 +57,7 @@ class SparseMatrix:
 
     # --- hints and preparation ------------------------------------------------------------
     def hint(self, name: str, value: Any) -> SparseMatrix:
-        return SparseMatrix(self.entries, self.meta.with_(hints=self.meta.hints.with_(name, value)))
+        return SparseMatrix(self.entries, self.meta.with_(hints=self.meta.hints.with_(name, value)), self.held, self.terms)
 
     def optimize(self, op: str = "spmv") -> SparseMatrix:
         """Prepares for repeated use: with "many" invocations hinted, entries are dealt by the operation's join key and kept."""
@@ -87,8 +88,8 @@ class SparseMatrix:
         if trans is Trans.N:
             return self
         v = self.dtype.conj(F.col("v")) if trans is Trans.C else F.col("v")
-        entries = self.entries.select(F.col("j").alias("i"), F.col("i").alias("j"), v.alias("v"))
-        return SparseMatrix(entries, self.meta.with_(m=self.n, n=self.m))
+        turned = lambda df: df.select(F.col("j").alias("i"), F.col("i").alias("j"), v.alias("v"))
+        return SparseMatrix(turned(self.entries), self.meta.with_(m=self.n, n=self.m), terms=turned(self.terms))
 
     def transpose(self, trans: Trans | str = Trans.T) -> SparseMatrix:
         self._changeable()

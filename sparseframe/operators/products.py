@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.aggregate import sum_by
-from ..plans.meta import InputParameterError, MatrixMeta, Trans
+from ..plans.meta import InputParameterError, MatrixMeta, Trans, get_reproducibility
 from .matrix import SparseMatrix, common_dtype, identity, null
 
 #: Dense vectors of at most so many entries (24 bytes each) are broadcast in products; longer ones are joined by shuffle.
@@ -32,7 +32,7 @@ def spmv(a: SparseMatrix, x: DataFrame | None, alpha=1.0, beta=0.0, y: DataFrame
     """y <- alpha op(A) x + beta y as (i, v) for every i of the result. beta = 0: y is not read; alpha = 0: neither A nor x."""
     trans = Trans.of(trans, 2)
     dt, op = a.dtype, a.op(trans)
-    rows = a.spark.range(op.m).withColumnRenamed("id", "i")
+    every = a.spark.range(op.m).withColumnRenamed("id", "i")
     old = None
     if beta != 0:
         if y is None:
@@ -48,16 +48,18 @@ def spmv(a: SparseMatrix, x: DataFrame | None, alpha=1.0, beta=0.0, y: DataFrame
             right = x.select(F.col("i").alias("j"), dt.work(F.col("v")).alias("x"))
             if op.n <= BROADCAST_ENTRIES:
                 right = F.broadcast(right)
-            terms = op.entries.select("i", "j", dt.work(F.col("v")).alias("a")).join(right, "j")
+            # repeated entries need no sum of their own first; in the reproducible mode their order is that of entries
+            rows = op.entries if get_reproducibility() == "reproducible" else op.terms
+            terms = rows.select("i", "j", dt.work(F.col("v")).alias("a")).join(right, "j")
             sums = sum_by(terms, ["i"], "j", dt.mul(F.col("a"), F.col("x")), dt)
             product = sums.select("i", (F.col("v") if alpha == 1 else dt.mul(dt.lit(alpha), F.col("v"))).alias("p"))
     if product is not None:
-        rows = rows.join(product, "i", "left")
+        every = every.join(product, "i", "left")
     if old is not None:
-        rows = rows.join(old, "i", "left")
+        every = every.join(old, "i", "left")
     parts = [dt.coalesce(F.col(c), dt.zero) for c, df in (("p", product), ("o", old)) if df is not None]
     v = dt.zero if not parts else parts[0] if len(parts) == 1 else dt.add(*parts)
-    return rows.select("i", dt.store(v).alias("v"))
+    return every.select("i", dt.store(v).alias("v"))
 
 
 # --- sums -------------------------------------------------------------------------------------

@@ -158,7 +158,8 @@ def prepare(a: SparseMatrix, trans: Trans | str | None = None, method: str = "au
     pairs = tmp.cut(e.where("h < g").select("g", "h").distinct(), "pairs")
     if pairs.count() <= MAX_PAIRS:
         depends = defaultdict(list)
-        for g, h in pairs.collect():
+        known = pairs.toPandas()
+        for g, h in zip(known.g.tolist(), known.h.tolist(), strict=True):
             depends[g].append(h)
         level = [0] * blocks
         for g in range(blocks):
@@ -166,7 +167,8 @@ def prepare(a: SparseMatrix, trans: Trans | str | None = None, method: str = "au
         needs = [set() for _ in range(max(level) + 1)]
         for g, hs in depends.items():
             needs[level[g]].update(level[h] for h in hs)
-        of_block = a.spark.createDataFrame(list(enumerate(level)), "g long, level int")
+        # a row for each block: 12 bytes for block_rows rows of the matrix
+        of_block = a.spark.createDataFrame(pd.DataFrame({"g": np.arange(blocks), "level": np.array(level, np.int32)}), "g long, level int")
         e = e.join(F.broadcast(of_block), "g")
     else:
         needs, of_block = [range(g) for g in range(blocks)], None

@@ -28,14 +28,17 @@ def from_table(entries: DataFrame, m: int, n: int, dt: DType | str = "d", i: str
     check_base(index_base)
     dt = dtype(dt)
     rows = entries.select((F.col(i) - index_base).cast("long").alias("i"), (F.col(j) - index_base).cast("long").alias("j"), dt.work(F.col(v)).alias("v"))
+    terms = None
     if duplicates == "sum":
+        if dt.code in "dz":  # single precision rounds the sums
+            terms = rows
         rows = rows.groupBy("i", "j").agg(dt.sum(F.col("v")).alias("v"))
     elif duplicates == "error":
         if rows.groupBy("i", "j").count().where("count > 1").limit(1).count():
             raise InputParameterError("two values for one entry", 5)
     elif duplicates != "unique":
         raise InputParameterError(f"duplicates: sum, error or unique, not {duplicates!r}", 9)
-    return SparseMatrix(rows.select("i", "j", dt.store(F.col("v")).alias("v")), MatrixMeta(m, n, dt, index_base=index_base, no_copy=no_copy))
+    return SparseMatrix(rows.select("i", "j", dt.store(F.col("v")).alias("v")), MatrixMeta(m, n, dt, index_base=index_base, no_copy=no_copy), terms=terms)
 
 
 def from_coo(spark: SparkSession, m: int, n: int, row_indx: Sequence[int], col_indx: Sequence[int], vals: Sequence, dt: DType | str = "d", duplicates: str = "sum", no_copy: bool = False) -> SparseMatrix:

@@ -48,6 +48,7 @@ def plan(df):
 def test_plans_prune_and_join_by_keys(spark):
     p = plan(catalog.spmv(spark, SF))
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double>" in p and "BroadcastHashJoin" in p
+    assert p.count("HashAggregate(") == 2  # lines of one part and supplier aren't summed before the product
     p = plan(catalog.returns(spark, SF).entries)
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in p
     for name in ("spmm", "sddmm", "spadd", "spelmm", "export_dense", "sddmm_dense_rows"):
