@@ -145,8 +145,8 @@ def spelmm(a: SparseMatrix, b: SparseMatrix, alpha=1.0, beta=0.0, c: SparseMatri
     return _plus(product, beta, c)
 
 
-#: Columns of a dense right operand that one row of a join carries.
-PANEL = 64
+#: Columns of a dense right operand that one row of a join carries; the sums of many more would not be compiled as one method.
+PANEL = 16
 
 
 def spmm_rows(a: SparseMatrix, rows: DataFrame, n: int, alpha=1.0, trans_a: Trans | str = "N") -> DataFrame:

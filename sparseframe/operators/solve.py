@@ -34,7 +34,7 @@ from .matrix import SparseMatrix
 
 FOLD_ROWS, FOLD_ENTRIES, MAX_LEVELS, BLOCK_ROWS = 4096, 1_000_000, 64, 2048
 #: Right-hand sides in a panel; pairs of dependent blocks that the driver orders (beyond, blocks go one by one).
-PANEL, MAX_PAIRS = 32, 2_000_000
+PANEL, MAX_PAIRS = 16, 2_000_000
 
 
 def _checked(a: SparseMatrix, trans: Trans | str) -> tuple[SparseMatrix, bool]:
