@@ -218,14 +218,14 @@ def write_tokens(
     Ids are whole numbers; null ids come first. Rows of one id are ordered by a hash of their
     text, so that they too can be dealt to several files; equal rows are all written. Other
     columns are ignored. One range exchange, its bounds by sampling: about `range_bytes` of
-    the input to a range, and as many ranges as the session has shuffle partitions at least.
+    the input to a range and a file, and two ranges for each core at least.
     A segment ends with the slice (1 MB of text, or one longer text) that brings it to
     `segment_ids` ids. An empty table gives no segment. A task needs a few times its longest text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(input_bytes(rows) or 0) // range_bytes))
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-(input_bytes(rows) or 0) // range_bytes))
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ddl = "shard int, seq int, first long, n_ids long, n_docs int, data binary"
